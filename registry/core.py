@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +14,8 @@ ORACLE: dict[str, str] = {}
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for the comparison only: two engines add in different orders."""
-    return df.select(*[(F.round(f.name, digits) + F.lit(0.0)).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields])
+    return df.selectExpr(*[f"round({f.name}, {digits}) + 0D AS {f.name}"
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f.name for f in df.schema.fields])
 
 
 def rounded_sql(sql: str, doubles: str | list[str], digits: int = 6) -> str:

@@ -307,7 +307,7 @@ INT_FEATURES = set(V.STATE_FEATURES) - set(RATIOS) | {"bat_s_pa", "bat_c_pa", "p
 
 def vectors(spark, sf):
     e = roles.events(spark, sf)
-    return V.feature_vectors(game_state(e), P.batter_profile_fused(e), P.pitcher_profile_fused(e))
+    return V.feature_vectors(game_state(e), P.batter_profile_fused(e), P.pitcher_profile_fused(e), appearances=e)
 
 
 query("c7_feature_vectors", S.core(["state", "bprofile", "pprofile"], _vector_sql()),

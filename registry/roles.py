@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorebook.session import apply_defaults
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    apply_defaults(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -124,7 +126,7 @@ def pitch_steps(d) -> tuple[Steps, list[str]]:
         {"stand": "CASE batter % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE CASE WHEN p_throws = 'L' THEN 'R' ELSE 'L' END END",
          "post_bat_score": "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE bat_score + CASE l_partkey % 11 WHEN 0 THEN 1 "
                            "WHEN 1 THEN 2 ELSE 0 END END",
-         "bat_score_diff": "bat_score - fld_score", "game_year": "year(game_date)",
+         "bat_score_diff": "bat_score - fld_score", "game_year": "cast(year(game_date) as int)",
          "game_type": d.pick(["R"] * 10 + ["F", "S"], "game_pk % 12"),
          "balls": f"cast(least(3, {d.div('pitch_number - 1', 2)}) as int)",
          "strikes": f"cast(least(2, {d.div('pitch_number', 2)}) as int)",
@@ -166,7 +168,7 @@ def game_steps(d) -> tuple[Steps, list[str]]:
          "home_team_id": f"cast(100 + (game_pk % 30 + 1 + {d.div('game_pk', 30)} % 29) % 30 as int)",
          "home_score": "cast(s % 11 as int)", "away_score": f"cast({d.div('s', 11)} % 10 as int)",
          "venue_id": "cast(200 + game_pk % 30 as int)"},
-        {"season": "year(official_date)", "game_datetime": d.plus_minutes("official_date", "720 + (game_pk % 40) * 15"),
+        {"season": "cast(year(official_date) as int)", "game_datetime": d.plus_minutes("official_date", "720 + (game_pk % 40) * 15"),
          "status": "CASE WHEN game_pk % 17 = 5 THEN 'Postponed' WHEN game_pk % 17 = 6 THEN 'Cancelled' "
                    "WHEN abstract_game_state = 'Live' THEN 'In Progress' WHEN abstract_game_state = 'Preview' "
                    "THEN 'Scheduled' ELSE 'Final' END",
@@ -401,3 +403,105 @@ def with_ctes(names: list[str], body: str, extra: dict[str, str] | None = None)
         add(n)
     parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
+
+
+# --- further roles -----------------------------------------------------------
+
+PRIORITIES = 5
+
+
+def prediction_steps(d) -> tuple[Steps, list[str]]:
+    """Orders as predictions of their priority class; probabilities are ratios of small whole numbers."""
+    w = {f"w{i}": f"1 + (o_orderkey * {i + 3} + o_custkey * {i * i + 1}) % {7 + i}" for i in range(PRIORITIES)}
+    total = " + ".join(w)
+    p = ", ".join(f"cast({k} as double) / ({total})" for k in w)
+    steps = [
+        {"label": "cast(substr(o_orderpriority, 1, 1) as int) - 1", **w,
+         "inning": "cast(1 + o_custkey % 9 as int)", "run_diff": "cast(o_orderkey % 17 - 8 as int)",
+         "times_through_order": "cast(1 + o_orderkey % 4 as int)"},
+        {"proba": f"array({p})" if d.name == "spark" else f"[{p}]"},
+    ]
+    return steps, "o_orderkey label proba inning run_diff times_through_order".split()
+
+
+def timed_steps(d) -> tuple[Steps, list[str]]:
+    """Raw pitches as timed events; every ninth is an action without pitch number."""
+    steps = [
+        {"play_event_index": "pitch_number", "is_action": "(at_bat_number + pitch_number) % 9 = 0",
+         "event_end_ts": d.plus_minutes("game_date", "720 + at_bat_number * 10 + pitch_number"),
+         "event_start_ts": d.plus_minutes("game_date", "719 + at_bat_number * 10 + pitch_number"),
+         "pa_start_ts": d.plus_minutes("game_date", "720 + at_bat_number * 10"),
+         "pa_end_ts": d.plus_minutes("game_date", "729 + at_bat_number * 10"),
+         "play_id": f"concat(cast(game_pk as {d.text}), '-', cast(at_bat_number as {d.text}), '-', cast(pitch_number as {d.text}))"},
+        {"event_type": "CASE WHEN is_action THEN 'action' ELSE 'pitch' END", "no": "CASE WHEN is_action THEN NULL ELSE pitch_number END"},
+    ]
+    cols = ("game_pk at_bat_number play_event_index no event_type play_id event_start_ts event_end_ts pa_start_ts pa_end_ts "
+            "_load_id _row").split()
+    return steps, cols
+
+
+BUCKETS = ["rd_lte_m6", "rd_m5", "rd_m4", "rd_m3", "rd_m2", "rd_m1", "rd_0", "rd_p1", "rd_p2", "rd_p3", "rd_p4", "rd_p5", "rd_gte_p6"]
+
+
+def conv_steps(d) -> tuple[Steps, list[str]]:
+    """Convergence rows; input has state (0..116), l_linenumber, a, b."""
+    steps = [{"inning": "cast(1 + state % 9 as int)", "rd_bucket": d.pick(BUCKETS, d.div("state", 9)),
+              "level": f"concat('L', cast(l_linenumber as {d.text}))",
+              "stabilization_n": d.pick([25, 50, 100, 200, 500, None], "a % 6"),
+              **{f"std_at_{n}": f"cast((a * {i + 3} + b) % 64 as double) / 1024" for i, n in enumerate((25, 50, 100, 200, 500))}}]
+    return steps, ["inning", "rd_bucket", "level", "stabilization_n", *[f"std_at_{n}" for n in (25, 50, 100, 200, 500)]]
+
+
+CONV = f"SELECT l_orderkey % 117 AS state, l_linenumber, sum(pk) AS a, sum(sk) AS b FROM ({LINES}) GROUP BY 1, 2"
+
+
+def predictions(spark, sf) -> DataFrame:
+    return _apply(load(spark, sf, "orders"), prediction_steps(Spark))
+
+
+def timed(spark, sf) -> DataFrame:
+    return _apply(raw_pitches(spark, sf), timed_steps(Spark)).withColumnRenamed("no", "pitch_number")
+
+
+def convergence(spark, sf) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    per = _lines(spark, sf).groupBy(F.expr("l_orderkey % 117").alias("state"), "l_linenumber").agg(
+        F.sum("pk").alias("a"), F.sum("sk").alias("b"))
+    return _apply(per, conv_steps(Spark))
+
+
+CTE |= {
+    "predictions": _sql("SELECT * FROM orders", prediction_steps(Duck)),
+    "timed": _sql("SELECT * FROM raw_pitches", timed_steps(Duck)).replace(" no, ", " no AS pitch_number, ", 1),
+    "conv": _sql(CONV, conv_steps(Duck)).replace("CAST(sum", "sum"),
+    "actual": "SELECT game_pk, horizon, CAST(1 + (game_pk + horizon) % 9 AS INTEGER) AS inning, CASE WHEN horizon % 2 = 0 THEN 'Top' ELSE 'Bot' END AS half, "
+              "CAST(0 AS INTEGER) AS outs, CAST(0 AS INTEGER) AS bases, CAST((game_pk + horizon) % 7 AS INTEGER) AS home_score, "
+              "CAST((game_pk * 3 + horizon) % 5 AS INTEGER) AS away_score FROM (SELECT DISTINCT game_pk, horizon FROM paths WHERE horizon <= 5)",
+    "outcomes": "SELECT game_pk, sim_id, concat('k', CAST(game_pk % 5 AS VARCHAR)) AS state_key, sum(home_score) > sum(away_score) AS home_won FROM paths GROUP BY game_pk, sim_id",
+    "weights": f"SELECT concat('k', CAST(l_orderkey % 5 AS VARCHAR)) AS state_key, CAST(l_linenumber - 1 AS INTEGER) AS hz, CAST(sum(sk) % 64 AS DOUBLE) / 256 AS weight "
+               f"FROM ({LINES}) WHERE l_linenumber > 1 GROUP BY 1, 2",
+}
+NEEDS |= {"timed": ["raw_pitches"], "actual": ["paths"], "outcomes": ["paths"]}
+
+
+def actual(spark, sf) -> DataFrame:
+    d = paths(spark, sf).where("horizon <= 5").select("game_pk", "horizon").distinct()
+    return d.selectExpr("game_pk", "horizon", "cast(1 + (game_pk + horizon) % 9 as int) AS inning",
+                        "CASE WHEN horizon % 2 = 0 THEN 'Top' ELSE 'Bot' END AS half", "0 AS outs", "0 AS bases",
+                        "cast((game_pk + horizon) % 7 as int) AS home_score", "cast((game_pk * 3 + horizon) % 5 as int) AS away_score")
+
+
+def outcomes(spark, sf) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return paths(spark, sf).groupBy("game_pk", "sim_id").agg((F.sum("home_score") > F.sum("away_score")).alias("home_won")) \
+        .withColumn("state_key", F.expr("concat('k', cast(game_pk % 5 as string))"))
+
+
+def weights(spark, sf) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return _lines(spark, sf).where("l_linenumber > 1").groupBy(
+        F.expr("concat('k', cast(l_orderkey % 5 as string))").alias("state_key"), F.expr("cast(l_linenumber - 1 as int)").alias("hz")
+    ).agg((F.sum("sk") % 64).alias("w")).selectExpr("state_key", "hz", "cast(w as double) / 256 AS weight")

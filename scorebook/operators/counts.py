@@ -3,6 +3,9 @@
 Every function is one ``groupBy`` over conditional aggregates, so Spark combines on the map
 side and ships one row per (player, date) and input partition, however many pitches a player
 or a day holds. ``entity``, ``day`` and ``season`` name the grouping columns.
+
+The aggregates are Spark SQL texts: there are about a hundred per table, and parsing a text is
+far cheaper than building the same tree call by call through the Python gateway.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook import constants as K
-from scorebook.functions.predicates import discipline_flags, pitch_group
 
 HANDS = {"l": "L", "r": "R"}
 
@@ -51,123 +53,129 @@ def pitcher_arsenal_names() -> list[str]:
             + ["arm_angle_sum", "arm_angle_n", "extension_sum", "extension_n"])
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(F.coalesce(cond, F.lit(False)))
-
-
-def sum_where(cond: Column, value: Column) -> Column:
-    """NULL when no row qualifies."""
-    return F.sum(F.when(cond, value))
-
+def any_of(values: list) -> str:
+    return "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
 
-def _outcomes() -> dict[str, Column]:
-    r = F.col("pa_result")
-    return {
-        "hits": r.isin(K.HITS), "singles": r == "single", "doubles": r == "double",
-        "triples": r == "triple", "hr": r == "home_run", "bb": r.isin(K.WALKS),
-        "ibb": r == "intent_walk", "k": r.isin(K.STRIKEOUTS), "hbp": r == "hit_by_pitch",
-        "sf": r == "sac_fly", "sh": r == "sac_bunt",
-    }
 
+def count_where(cond: str) -> str:
+    return f"count_if(coalesce({cond}, false))"
 
-def barrel() -> Column:
-    """Hard and well-angled contact: the admissible angle widens with the speed above 98."""
-    v, a = F.col("launch_speed"), F.col("launch_angle")
-    over = v - 98
-    return ((v >= 98) & (a >= F.greatest(26 - over, F.lit(8.0))) & (a <= F.least(30 + over, F.lit(50.0))))
 
+def sum_where(cond: str, value: str) -> str:
+    """NULL when no row qualifies."""
+    return f"sum(CASE WHEN {cond} THEN {value} END)"
 
-def finished_pa() -> Column:
-    """Last pitch of a plate appearance that ended regularly."""
-    return F.col("pa_result").isNotNull() & (F.col("pa_result") != K.TRUNCATED)
 
+# Row filters of the count tables.
+FINISHED = f"(pa_result IS NOT NULL AND pa_result <> '{K.TRUNCATED}')"
+CLASSIFIED = f"({FINISHED} AND pitch_type IS NOT NULL)"
+# A pitch without description is left out like a bunt.
+JUDGED = f"coalesce(pitch_type IS NOT NULL AND description NOT IN {any_of(K.BUNTS)}, false)"
+KNOWN = f"coalesce(pitch_type IN {any_of(K.PITCH_TYPES)}, false)"
 
-def classified_pa() -> Column:
-    return finished_pa() & F.col("pitch_type").isNotNull()
+OUTCOMES = {
+    "hits": f"pa_result IN {any_of(K.HITS)}",
+    "singles": "pa_result = 'single'",
+    "doubles": "pa_result = 'double'",
+    "triples": "pa_result = 'triple'",
+    "hr": "pa_result = 'home_run'",
+    "bb": f"pa_result IN {any_of(K.WALKS)}",
+    "ibb": "pa_result = 'intent_walk'",
+    "k": f"pa_result IN {any_of(K.STRIKEOUTS)}",
+    "hbp": "pa_result = 'hit_by_pitch'",
+    "sf": "pa_result = 'sac_fly'",
+    "sh": "pa_result = 'sac_bunt'",
+}
 
+# Hard and well-angled contact: the admissible angle widens with the speed above 98.
+BARREL = ("(launch_speed >= 98 AND launch_angle >= greatest(26 - (launch_speed - 98), 8D)"
+          " AND launch_angle <= least(30 + (launch_speed - 98), 50D))")
 
-def judged_pitch() -> Column:
-    """Any typed pitch but bunts; a pitch without description is left out too."""
-    return F.col("pitch_type").isNotNull() & ~F.col("description").isin(K.BUNTS)
+SWING, WHIFF = f"description IN {any_of(K.SWINGS)}", f"description IN {any_of(K.WHIFFS)}"
+OUTSIDE = f"zone IN {any_of(K.OUTSIDE_ZONES)}"
 
 
-def known_pitch() -> Column:
-    return F.col("pitch_type").isin(K.PITCH_TYPES)
+def _named(aggs: dict[str, str], names: list[str]) -> list[Column]:
+    return [F.expr(aggs[n]).alias(n) for n in names]
 
 
-def batter_aggs(within: Column) -> list[Column]:
-    in_play = F.col("bb_type").isNotNull()
+def batter_aggs(within: str = "true") -> list[Column]:
     aggs = {}
     for h, code in HANDS.items():
-        side = within & (F.col("pitch_hand") == code)
-        cols = {"pa": count_where(side), "abs": count_where(side & ~F.col("pa_result").isin(K.NOT_AT_BAT))}
-        cols |= {n: count_where(side & c) for n, c in _outcomes().items()}
-        cols |= {
-            "woba_value": sum_where(side, F.col("woba_value")),
-            "woba_denom": sum_where(side, F.col("woba_denom")),
-            "ev_sum": sum_where(side & in_play, F.col("launch_speed")),
-            "bip": count_where(side & in_play),
-            "hard_hit": count_where(side & in_play & (F.col("launch_speed") >= 95)),
-            "barrel": count_where(side & in_play & barrel()),
-        }
+        side = f"{within} AND pitch_hand = '{code}'"
+        hit_ball = f"{side} AND bb_type IS NOT NULL"
+        cols = {
+            "pa": count_where(side),
+            "abs": count_where(f"{side} AND pa_result NOT IN {any_of(K.NOT_AT_BAT)}"),
+            "woba_value": sum_where(side, "woba_value"),
+            "woba_denom": sum_where(side, "woba_denom"),
+            "ev_sum": sum_where(hit_ball, "launch_speed"),
+            "bip": count_where(hit_ball),
+            "hard_hit": count_where(f"{hit_ball} AND launch_speed >= 95"),
+            "barrel": count_where(f"{hit_ball} AND {BARREL}"),
+        } | {n: count_where(f"{side} AND {c}") for n, c in OUTCOMES.items()}
         aggs |= {f"{n}_vs_{h}": cols[n] for n in BATTER_COLS}
-    return [aggs[n].alias(n) for n in batter_names()]
+    return _named(aggs, batter_names())
 
 
-def pitcher_aggs(within: Column) -> list[Column]:
-    r = F.col("pa_result")
+def pitcher_aggs(within: str = "true") -> list[Column]:
     aggs = {}
     for h, code in HANDS.items():
-        side = within & (F.col("bat_side") == code)
-        cols = {"bf": count_where(side),
-                "outs": count_where(side & r.isin(K.ONE_OUT)) + 2 * count_where(side & r.isin(K.TWO_OUTS))}
-        cols |= {n: count_where(side & c) for n, c in _outcomes().items()}
-        cols |= {"woba_value": sum_where(side, F.col("woba_value")),
-                 "woba_denom": sum_where(side, F.col("woba_denom"))}
+        side = f"{within} AND bat_side = '{code}'"
+        cols = {
+            "bf": count_where(side),
+            "outs": (count_where(f"{side} AND pa_result IN {any_of(K.ONE_OUT)}") + " + 2 * "
+                     + count_where(f"{side} AND pa_result IN {any_of(K.TWO_OUTS)}")),
+            "woba_value": sum_where(side, "woba_value"),
+            "woba_denom": sum_where(side, "woba_denom"),
+        } | {n: count_where(f"{side} AND {c}") for n, c in OUTCOMES.items()}
         aggs |= {f"{n}_vs_{h}": cols[n] for n in PITCHER_COLS}
-    return [aggs[n].alias(n) for n in gen(PITCHER_COLS)]
+    return _named(aggs, gen(PITCHER_COLS))
 
 
-def batter_arsenal_aggs(within: Column) -> list[Column]:
-    out = {}
-    for g in K.PITCH_GROUPS:
+def batter_arsenal_aggs(within: str = "true") -> list[Column]:
+    aggs = {}
+    for g, types in K.PITCH_GROUPS.items():
         for h, code in HANDS.items():
-            here = within & (pitch_group() == g) & (F.col("pitch_hand") == code)
-            cols = {"woba_value": sum_where(here, F.col("woba_value")),
-                    "woba_denom": sum_where(here, F.col("woba_denom")),
-                    "bip": count_where(here & F.col("bb_type").isNotNull())}
-            cols |= {n: count_where(here & F.col("bb_type").isin(kinds)) for n, kinds in K.BATTED_BALLS.items()}
-            out |= {f"{g}_{n}_vs_{h}": cols[n] for n in ARSENAL_COLS}
-    return [out[n].alias(n) for n in batter_arsenal_names()]
+            here = f"{within} AND pitch_type IN {any_of(types)} AND pitch_hand = '{code}'"
+            cols = {
+                "woba_value": sum_where(here, "woba_value"),
+                "woba_denom": sum_where(here, "woba_denom"),
+                "bip": count_where(f"{here} AND bb_type IS NOT NULL"),
+            } | {n: count_where(f"{here} AND bb_type IN {any_of(kinds)}") for n, kinds in K.BATTED_BALLS.items()}
+            aggs |= {f"{g}_{n}_vs_{h}": cols[n] for n in ARSENAL_COLS}
+    return _named(aggs, batter_arsenal_names())
 
 
-def discipline_aggs(within: Column) -> list[Column]:
-    """Needs the columns of ``discipline_flags``."""
-    tests = {"swings": F.col("is_swing"), "whiffs": F.col("is_whiff"), "ooz": F.col("is_outside_zone"),
-             "chases": F.col("is_swing") & F.col("is_outside_zone")}
-    return [count_where(within & (pitch_group() == g) & (F.col("pitch_hand") == code) & tests[n])
-            .alias(f"{g}_{n}_vs_{h}")
-            for g in K.PITCH_GROUPS for n in DISCIPLINE_COLS for h, code in HANDS.items()]
+def discipline_aggs(within: str = "true") -> list[Column]:
+    tests = {"swings": SWING, "whiffs": WHIFF, "ooz": OUTSIDE, "chases": f"{SWING} AND {OUTSIDE}"}
+    aggs = {f"{g}_{n}_vs_{h}": count_where(f"{within} AND pitch_type IN {any_of(types)} AND pitch_hand = '{code}' AND {tests[n]}")
+            for g, types in K.PITCH_GROUPS.items() for n in DISCIPLINE_COLS for h, code in HANDS.items()}
+    return _named(aggs, discipline_names())
 
 
-def pitcher_arsenal_aggs(within: Column) -> list[Column]:
+def pitcher_arsenal_aggs(within: str = "true") -> list[Column]:
     """Pitch mix by batter hand; sums with their non-null counts, so averages stay mergeable."""
-    side = {h: within & (F.col("bat_side") == code) for h, code in HANDS.items()}
-    out = {f"pitches_vs_{h}": count_where(side[h]) for h in HANDS}
+    side = {h: f"{within} AND bat_side = '{code}'" for h, code in HANDS.items()}
+    aggs = {f"pitches_vs_{h}": count_where(side[h]) for h in HANDS}
     for t in K.PITCH_TYPES:
-        kind, low = within & (F.col("pitch_type") == t), t.lower()
-        out |= {f"{low}_n_vs_{h}": count_where(kind & side[h]) for h in HANDS}
+        low, kind = t.lower(), f"pitch_type = '{t}'"
+        aggs |= {f"{low}_n_vs_{h}": count_where(f"{side[h]} AND {kind}") for h in HANDS}
         for name, col in (("velo", "release_speed"), ("spin", "release_spin_rate")):
-            out[f"{low}_{name}_sum"] = sum_where(kind, F.col(col))
-            out[f"{low}_{name}_n"] = F.count(F.when(kind, F.col(col)))
+            aggs[f"{low}_{name}_sum"] = sum_where(f"{within} AND {kind}", col)
+            aggs[f"{low}_{name}_n"] = f"count(CASE WHEN {within} AND {kind} THEN {col} END)"
     for name, col in (("arm_angle", "arm_angle"), ("extension", "release_extension")):
-        out[f"{name}_sum"] = sum_where(within, F.col(col))
-        out[f"{name}_n"] = F.count(F.when(within, F.col(col)))
-    return [out[n].alias(n) for n in pitcher_arsenal_names()]
+        aggs[f"{name}_sum"] = sum_where(within, col)
+        aggs[f"{name}_n"] = f"count(CASE WHEN {within} THEN {col} END)"
+    return _named(aggs, pitcher_arsenal_names())
+
+
+def _daily(events: DataFrame, rows: str, aggs: list[Column], keys: tuple[str, str, str]) -> DataFrame:
+    return events.where(rows).groupBy(*keys).agg(*aggs)
 
 
 def batter_counts(events: DataFrame, entity="batter_id", day="game_date", season="season") -> DataFrame:
-    return events.where(finished_pa()).groupBy(entity, day, season).agg(*batter_aggs(F.lit(True)))
+    return _daily(events, FINISHED, batter_aggs(), (entity, day, season))
 
 
 def pitcher_counts(events: DataFrame, entity="pitcher_id", day="game_date", season="season") -> DataFrame:
@@ -176,21 +184,18 @@ def pitcher_counts(events: DataFrame, entity="pitcher_id", day="game_date", seas
     The pitch count takes every pitch, the other columns only finished plate appearances. Days
     without one are dropped, as an aggregate of appearances joined to one of pitches would.
     """
-    daily = events.groupBy(entity, day, season).agg(
-        *pitcher_aggs(finished_pa()), F.count(F.lit(1)).alias("pitches"),
-        count_where(finished_pa()).alias("__done"))
-    return daily.where("__done > 0").select(
-        entity, day, season, *gen(PITCHER_COLS), "pitches", F.lit(1).alias("games"))
+    done = [F.expr("count(1)").alias("pitches"), F.expr(count_where(FINISHED)).alias("__done")]
+    daily = _daily(events, "true", [*pitcher_aggs(FINISHED), *done], (entity, day, season))
+    return daily.where("__done > 0").selectExpr(entity, day, season, *gen(PITCHER_COLS), "pitches", "1 AS games")
 
 
 def batter_arsenal_counts(events: DataFrame, entity="batter_id", day="game_date", season="season") -> DataFrame:
-    return events.where(classified_pa()).groupBy(entity, day, season).agg(*batter_arsenal_aggs(F.lit(True)))
+    return _daily(events, CLASSIFIED, batter_arsenal_aggs(), (entity, day, season))
 
 
 def batter_discipline_counts(events: DataFrame, entity="batter_id", day="game_date", season="season") -> DataFrame:
-    pitches = discipline_flags(events.where(judged_pitch()))
-    return pitches.groupBy(entity, day, season).agg(*discipline_aggs(F.lit(True)))
+    return _daily(events, JUDGED, discipline_aggs(), (entity, day, season))
 
 
 def pitcher_arsenal_counts(events: DataFrame, entity="pitcher_id", day="game_date", season="season") -> DataFrame:
-    return events.where(known_pitch()).groupBy(entity, day, season).agg(*pitcher_arsenal_aggs(F.lit(True)))
+    return _daily(events, KNOWN, pitcher_arsenal_aggs(), (entity, day, season))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.operators.windows import dedup_latest
 
 
-def _add(a: Column, b: Column) -> Column:
-    """Sum that is NULL only where both sides are."""
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-
-
 def running_sums(counts: DataFrame, entity: str, cols: list[str], day="game_date", season="season",
                  keep: list[str] = ()) -> DataFrame:
     """``s_<col>`` and ``c_<col>`` up to and including each day.
@@ -21,12 +16,13 @@ def running_sums(counts: DataFrame, entity: str, cols: list[str], day="game_date
     A season follows the calendar, hence ordering the career by (season, day) lets both windows
     share one shuffle on ``entity`` and one sort.
     """
-    career = Window.partitionBy(entity).orderBy(season, day).rowsBetween(Window.unboundedPreceding, 0)
-    in_season = Window.partitionBy(entity, season).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    career = f"(PARTITION BY {entity} ORDER BY {season}, {day} {frame})"
+    in_season = f"(PARTITION BY {entity}, {season} ORDER BY {day} {frame})"
+    return counts.selectExpr(
         entity, day, season, *keep,
-        *[F.sum(c).over(career).alias(f"c_{c}") for c in cols],
-        *[F.sum(c).over(in_season).alias(f"s_{c}") for c in cols],
+        *[f"sum({c}) OVER {career} AS c_{c}" for c in cols],
+        *[f"sum({c}) OVER {in_season} AS s_{c}" for c in cols],
     ).select(entity, day, season, *keep, *[f"s_{c}" for c in cols], *[f"c_{c}" for c in cols])
 
 
@@ -45,16 +41,17 @@ def cumulate(new: DataFrame, entity: str, cols: list[str], target: DataFrame | N
     sums = running_sums(new, entity, cols, day, season)
     if target is None:
         return sums
-    prev_season = carry_forward(target, new, [entity, season], day).select(
-        entity, season, *[F.col(f"s_{c}").alias(f"__ps_{c}") for c in cols])
-    prev_career = carry_forward(target, new, [entity], day).select(
-        entity, *[F.col(f"c_{c}").alias(f"__pc_{c}") for c in cols])
+    prev_season = carry_forward(target, new, [entity, season], day).selectExpr(
+        entity, season, *[f"s_{c} AS __ps_{c}" for c in cols])
+    prev_career = carry_forward(target, new, [entity], day).selectExpr(entity, *[f"c_{c} AS __pc_{c}" for c in cols])
     joined = sums.join(prev_season, [entity, season], "left").join(prev_career, [entity], "left")
-    return joined.select(
-        entity, day, season,
-        *[_add(F.col(f"__ps_{c}"), F.col(f"s_{c}")).alias(f"s_{c}") for c in cols],
-        *[_add(F.col(f"__pc_{c}"), F.col(f"c_{c}")).alias(f"c_{c}") for c in cols],
-    )
+
+    def added(prev: str, cur: str) -> str:
+        """Sum that is NULL only where both sides are."""
+        return f"coalesce({prev} + {cur}, {prev}, {cur}) AS {cur}"
+
+    return joined.selectExpr(entity, day, season, *[added(f"__ps_{c}", f"s_{c}") for c in cols],
+                             *[added(f"__pc_{c}", f"c_{c}") for c in cols])
 
 
 def recompute_entities(counts: DataFrame, changed: DataFrame, entity: str, cols: list[str],

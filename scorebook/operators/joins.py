@@ -13,7 +13,7 @@ from scorebook.plans.ordered import latest_before
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str,
               strict: bool = True, how: str = "inner", bucket: Callable[[Column], Column] | None = None,
-              prefix: str = "") -> DataFrame:
+              prefix: str = "", probes: DataFrame | None = None) -> DataFrame:
     """Each left row with the latest earlier right row of its key.
 
     ``right`` has one row per (``on``, ``right_ts``). The match is found on distinct narrow keys
@@ -23,9 +23,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     splits inside a key.
 
     A right column whose name (with ``prefix``) is that of ``left_ts`` is not repeated.
+    ``probes`` may supply the left's (key, time) pairs, or a superset, from a cheaper source.
     ``strict`` matches ``left_ts > right_ts``, otherwise ``>=``. Inner drops unmatched left rows.
     """
-    match = latest_before(left, right, on, left_ts, right_ts, strict, bucket, out="__matched")
+    match = latest_before(left if probes is None else probes, right, on, left_ts, right_ts, strict, bucket, out="__matched")
     if how == "inner":
         match = match.where(F.col("__matched").isNotNull())
     carried = [c for c in right.columns if c not in on and prefix + c != left_ts]

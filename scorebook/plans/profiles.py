@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.functions import rates
-from scorebook.functions.predicates import discipline_flags
 from scorebook.operators import counts as C
 from scorebook.operators.cumulate import cumulate, rest_days, running_sums
 from scorebook.operators.joins import batter_profile, pitcher_profile
@@ -49,51 +48,47 @@ def pitcher_profile_by_tables(events: DataFrame) -> DataFrame:
 # window pass replaces the joins. A date without rows in a part gets NULL for that part's
 # columns, as the left joins would give.
 
-def _fused(events: DataFrame, entity: str, parts: dict[str, tuple], extra: dict | None = None) -> DataFrame:
-    """``parts``: name -> (row filter, aggregates, column names). The first part sets the rows."""
-    aggs = [a for cond, make, _ in parts.values() for a in make(cond)]
-    marks = [C.count_where(cond).alias(f"__n_{p}") for p, (cond, _, _) in parts.items()]
-    daily = events.groupBy(entity, "game_date", "season").agg(*aggs, *[e.alias(n) for n, e in (extra or {}).items()], *marks)
-    # A part must not see a day on which only the other parts had rows; sums over no rows are
-    # zero or NULL and leave its totals unchanged, so the totals need no filter.
+def _fused(events: DataFrame, entity: str, parts: dict[str, tuple], extra: dict[str, str] | None = None) -> DataFrame:
+    """``parts``: name -> (row filter, aggregates, column names).
+
+    Sums over the rows of a part are zero or NULL on a day only other parts have rows for, and so
+    leave the part's totals unchanged.
+    """
+    aggs = [a for rows, make, _ in parts.values() for a in make(rows)]
+    marks = [F.expr(C.count_where(rows)).alias(f"__n_{p}") for p, (rows, _, _) in parts.items()]
+    more = [F.expr(e).alias(n) for n, e in (extra or {}).items()]
+    daily = events.groupBy(entity, "game_date", "season").agg(*aggs, *more, *marks)
     return daily.where(" OR ".join(f"__n_{p} > 0" for p in parts))
 
 
+def _profile_sums(daily: DataFrame, entity: str, parts: dict[str, list[str]], base: str) -> DataFrame:
+    """Running sums of all parts in one window pass, then the rows of the base part."""
+    names = [n for cols in parts.values() for n in cols]
+    sums = running_sums(daily, entity, names, keep=[f"__n_{p}" for p in parts]).where(f"__n_{base} > 0")
+    cols = [f"{s}_{n}" if p == base else f"CASE WHEN __n_{p} > 0 THEN {s}_{n} END AS {s}_{n}"
+            for p, members in parts.items() for s in ("s", "c") for n in members]
+    return sums.selectExpr(entity, "game_date", "season", *cols)
+
+
 def batter_profile_fused(events: DataFrame) -> DataFrame:
-    e = discipline_flags(events)
     parts = {
-        "b": (C.finished_pa(), C.batter_aggs, C.batter_names()),
-        "a": (C.classified_pa(), C.batter_arsenal_aggs, C.batter_arsenal_names()),
-        "d": (F.coalesce(C.judged_pitch(), F.lit(False)), C.discipline_aggs, C.discipline_names()),
+        "b": (C.FINISHED, C.batter_aggs, C.batter_names()),
+        "a": (C.CLASSIFIED, C.batter_arsenal_aggs, C.batter_arsenal_names()),
+        "d": (C.JUDGED, C.discipline_aggs, C.discipline_names()),
     }
-    daily = _fused(e, "batter_id", parts)
+    daily = _fused(events, "batter_id", parts)
     sums = _profile_sums(daily, "batter_id", {p: names for p, (_, _, names) in parts.items()}, base="b")
     return rates.discipline_rates(rates.batter_arsenal_rates(rates.batting_rates(sums)))
 
 
 def pitcher_profile_fused(events: DataFrame) -> DataFrame:
     parts = {
-        "p": (C.finished_pa(), C.pitcher_aggs, C.gen(C.PITCHER_COLS)),
-        "a": (F.coalesce(C.known_pitch(), F.lit(False)), C.pitcher_arsenal_aggs, C.pitcher_arsenal_names()),
+        "p": (C.FINISHED, C.pitcher_aggs, C.gen(C.PITCHER_COLS)),
+        "a": (C.KNOWN, C.pitcher_arsenal_aggs, C.pitcher_arsenal_names()),
     }
-    every = F.count(F.lit(1))
     # Pitches of a day without a finished appearance are not counted.
-    extra = {"pitches": F.when(C.count_where(C.finished_pa()) > 0, every),
-             "games": F.when(C.count_where(C.finished_pa()) > 0, F.lit(1))}
+    finished = f"{C.count_where(C.FINISHED)} > 0"
+    extra = {"pitches": f"CASE WHEN {finished} THEN count(1) END", "games": f"CASE WHEN {finished} THEN 1 END"}
     daily = _fused(events, "pitcher_id", parts, extra)
     sums = _profile_sums(daily, "pitcher_id", {"p": C.pitcher_names(), "a": C.pitcher_arsenal_names()}, base="p")
     return rest_days(rates.pitcher_arsenal_rates(rates.pitching_rates(sums)), "pitcher_id")
-
-
-def _profile_sums(daily: DataFrame, entity: str, parts: dict[str, list[str]], base: str) -> DataFrame:
-    """Running sums of all parts in one window pass, then the rows of the base part."""
-    names = [n for cols in parts.values() for n in cols]
-    marks = [f"__n_{p}" for p in parts]
-    sums = running_sums(daily, entity, names, keep=marks).where(F.col(f"__n_{base}") > 0)
-    cols = []
-    for p, members in parts.items():
-        for s in ("s", "c"):
-            for n in members:
-                c = F.col(f"{s}_{n}")
-                cols.append((c if p == base else F.when(F.col(f"__n_{p}") > 0, c)).alias(f"{s}_{n}"))
-    return sums.select(entity, "game_date", "season", *cols)

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from scorebook import constants as K
 from scorebook.functions import features as N
-from scorebook.functions.predicates import platoon
 from scorebook.operators.joins import asof_join
 
 STATE_FEATURES = [f for f in N.BLOCKS["game_state"]]
 
 
 def platoon_columns(hand: str, prefix: str, names: list[str], source: str) -> list[Column]:
-    """``<prefix><name>`` as the variant of ``name`` against ``hand``; inputs are ``<source><name>_vs_l/_vs_r``."""
-    return [platoon(hand, f"{source}{n}_vs_l", f"{source}{n}_vs_r").alias(f"{prefix}{n}") for n in names]
+    """``<prefix><name>`` as the variant of ``name`` against ``hand``; inputs are ``<source><name>_vs_l/_vs_r``.
+
+    Anything but ``L``, NULL included, takes the right-handed variant.
+    """
+    return [F.expr(f"CASE WHEN {hand} = 'L' THEN {source}{n}_vs_l ELSE {source}{n}_vs_r END").alias(f"{prefix}{n}")
+            for n in names]
 
 
 def _split_names(names: list[str]) -> list[str]:
@@ -34,23 +37,26 @@ PITCHER_PLAIN = (["s_bf", "c_bf"] + [f"{s}_{t.lower()}_{k}" for k in ("velo", "s
                  + _split_names(["arm_angle", "extension"]))
 
 
-def feature_vectors(state: DataFrame, batters: DataFrame, pitchers: DataFrame, strict: bool = True) -> DataFrame:
+def feature_vectors(state: DataFrame, batters: DataFrame, pitchers: DataFrame, strict: bool = True,
+                    appearances: DataFrame | None = None) -> DataFrame:
     """Keys, 172 features and the target of every pitch with an earlier profile on both sides.
 
     Only the columns the vector uses leave the profiles. Each as-of match is resolved on
-    (player, date) pairs and fetched by equality, see :func:`asof_join`.
+    (player, date) pairs and fetched by equality, see :func:`asof_join`. Those pairs are read from
+    ``appearances``, the events behind ``state``, or from ``state`` itself.
     """
+    pairs = state if appearances is None else appearances
     b_cols = [f"{n}_vs_{h}" for n in BATTER_SPLIT for h in ("l", "r")] + BATTER_PLAIN
     p_cols = [f"{n}_vs_{h}" for n in PITCHER_SPLIT for h in ("l", "r")] + PITCHER_PLAIN + ["pitcher_rest_days"]
-    b = batters.select("batter_id", "game_date", *[F.col(c).alias(f"b_{c}") for c in b_cols])
-    p = pitchers.select("pitcher_id", "game_date", *[F.col(c).alias(f"p_{c}") for c in p_cols])
-    wide = asof_join(state, b, ["batter_id"], "game_date", "game_date", strict)
-    wide = asof_join(wide, p, ["pitcher_id"], "game_date", "game_date", strict)
+    b = batters.selectExpr("batter_id", "game_date", *[f"{c} AS b_{c}" for c in b_cols])
+    p = pitchers.selectExpr("pitcher_id", "game_date", *[f"{c} AS p_{c}" for c in p_cols])
+    wide = asof_join(state, b, ["batter_id"], "game_date", "game_date", strict, probes=pairs)
+    wide = asof_join(wide, p, ["pitcher_id"], "game_date", "game_date", strict, probes=pairs)
     features = ([F.col(c) for c in STATE_FEATURES]
                 + platoon_columns("pitch_hand", "bat_", BATTER_SPLIT, "b_")
-                + [F.col(f"b_{c}").alias(f"bat_{c}") for c in BATTER_PLAIN]
+                + [F.expr(f"b_{c} AS bat_{c}") for c in BATTER_PLAIN]
                 + platoon_columns("bat_side", "pit_", PITCHER_SPLIT, "p_")
-                + [F.col(f"p_{c}").alias(f"pit_{c}") for c in PITCHER_PLAIN]
+                + [F.expr(f"p_{c} AS pit_{c}") for c in PITCHER_PLAIN]
                 + [F.col("p_pitcher_rest_days").alias("pit_rest_days")])
     return wide.select("game_pk", "at_bat_number", "pitch_number", "game_date", *features, "target")
 

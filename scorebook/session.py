@@ -30,6 +30,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "score
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the Python call site of every Column is slow for wide frames (static setting).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .getOrCreate()
     )

@@ -19,8 +19,15 @@ def read_landing(spark: SparkSession, root: str, table: str, suffix: str = "") -
 
 
 def conform(df: DataFrame, stub_schema: T.StructType | str) -> DataFrame:
-    """Union by name with a zero-row typed stub: columns that old files lack become NULL."""
-    return df.unionByName(df.sparkSession.createDataFrame([], stub_schema), allowMissingColumns=True)
+    """Same columns as a union by name with a zero-row stub: those old files lack become NULL.
+
+    Written as a projection, so no union node stands between the scan and its filters.
+    """
+    stub = T.StructType.fromDDL(stub_schema) if isinstance(stub_schema, str) else stub_schema
+    have = {f.name: f.dataType for f in df.schema.fields}
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in stub.fields if f.name not in have]
+    other = {f.name: F.col(f.name).cast(f.dataType) for f in stub.fields if have.get(f.name, f.dataType) != f.dataType}
+    return df.withColumns(other).select("*", *lacking) if other else df.select("*", *lacking)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -78,9 +85,8 @@ def canonical_events(landing: DataFrame, keep: list[str] = (LOAD_ID,)) -> DataFr
     """
     df = conform(landing, LATE_COLUMNS)
     names = {RENAMES.get(c, c): c for c in df.columns}
-    cols = [F.col(names[c]).alias(c) for c in EVENT_COLUMNS if c in names]
-    out = df.select(*cols, *[F.col(c) for c in keep if c in df.columns])
-    return out.withColumn("game_date", F.col("game_date").cast("date"))
+    cols = [f"CAST({c} AS date) AS {c}" if c == "game_date" else f"{names[c]} AS {c}" for c in EVENT_COLUMNS if c in names]
+    return df.selectExpr(*cols, *[c for c in keep if c in names])
 
 
 def processed_events(landing: DataFrame, order: list[str] = (LOAD_ID,)) -> DataFrame:
