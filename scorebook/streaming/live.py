@@ -11,7 +11,7 @@ split by the bucketed scan instead of being gathered in one Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +39,6 @@ class KeyedChanges:
     key: str
     order: list[str]
     step: Step
-    keep_states: int = 3
-    seen: list[int] = field(default_factory=list)
 
     def _state(self, batch_id: int) -> str:
         return f"{self.path}/state/b={batch_id:08d}"
@@ -49,10 +47,9 @@ class KeyedChanges:
         return f"{self.path}/out/b={batch_id:08d}"
 
     def previous(self, batch_id: int) -> DataFrame | None:
-        for b in range(batch_id - 1, -1, -1):
-            if exists(self.spark, f"{self._state(b)}/_SUCCESS"):
-                return self.spark.read.parquet(self._state(b))
-        return None
+        """State after the batch before ``batch_id``. Every batch writes one, so it is the next lower id."""
+        path = self._state(batch_id - 1)
+        return self.spark.read.parquet(path) if exists(self.spark, f"{path}/_SUCCESS") else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = self.previous(batch_id)
@@ -70,8 +67,12 @@ class KeyedChanges:
         """All output written so far."""
         return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/out")
 
-    def snapshot(self, last_batch: int) -> DataFrame:
-        return self.previous(last_batch + 1)
+    def snapshot(self) -> DataFrame:
+        """Newest row per key after the last finished batch."""
+        done = 0
+        while exists(self.spark, f"{self._state(done + 1)}/_SUCCESS"):
+            done += 1
+        return self.spark.read.parquet(self._state(done))
 
 
 def drop_repeats_step(key: str, order: list[str], bucket: Column, cols: list[str]) -> Step:
