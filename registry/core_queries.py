@@ -117,7 +117,7 @@ def e17(spark, sf):
 def _rate_query(name, table, key, make, names):
     ints = [n for n in names if n[:2] in ("s_", "c_")]
     body = f"SELECT {key}, game_date, {', '.join(names)} FROM {table}"
-    query(name, S.core([table], body), doubles=[n for n in names if n not in ints])(
+    query(name, S.core([table], body), doubles=[n for n in names if n not in ints], digits=9)(
         lambda spark, sf: make(roles.events(spark, sf)).select(key, "game_date", *names))
 
 
@@ -142,13 +142,13 @@ def _profile_columns(kind):
     return [c for c in sums if S.is_float(c)] + [c for c in rate if c[:2] not in ("s_", "c_")]
 
 
-query("c3_batter_profile", S.core(["bprofile"], "SELECT * FROM bprofile"), doubles=_profile_columns("b"))(
+query("c3_batter_profile", S.core(["bprofile"], "SELECT * FROM bprofile"), doubles=_profile_columns("b"), digits=9)(
     lambda spark, sf: P.batter_profile_by_tables(roles.events(spark, sf)))
-query("c3_pitcher_profile", S.core(["pprofile"], "SELECT * FROM pprofile"), doubles=_profile_columns("p"))(
+query("c3_pitcher_profile", S.core(["pprofile"], "SELECT * FROM pprofile"), doubles=_profile_columns("p"), digits=9)(
     lambda spark, sf: P.pitcher_profile_by_tables(roles.events(spark, sf)))
-query("c3_batter_profile_fused", S.core(["bprofile"], "SELECT * FROM bprofile"), doubles=_profile_columns("b"))(
+query("c3_batter_profile_fused", S.core(["bprofile"], "SELECT * FROM bprofile"), doubles=_profile_columns("b"), digits=9)(
     lambda spark, sf: P.batter_profile_fused(roles.events(spark, sf)))
-query("c3_pitcher_profile_fused", S.core(["pprofile"], "SELECT * FROM pprofile"), doubles=_profile_columns("p"))(
+query("c3_pitcher_profile_fused", S.core(["pprofile"], "SELECT * FROM pprofile"), doubles=_profile_columns("p"), digits=9)(
     lambda spark, sf: P.pitcher_profile_fused(roles.events(spark, sf)))
 
 
@@ -311,7 +311,7 @@ def vectors(spark, sf):
 
 
 query("c7_feature_vectors", S.core(["state", "bprofile", "pprofile"], _vector_sql()),
-      doubles=[f for f in ALL_FEATURES if f not in INT_FEATURES])(vectors)
+      doubles=[f for f in ALL_FEATURES if f not in INT_FEATURES], digits=9)(vectors)
 
 
 @query("b13_platoon", S.core(["bprofile", "state"], "SELECT gs.game_pk, gs.at_bat_number, gs.pitch_number, CASE WHEN gs.pitch_hand = 'L' THEN b.season_ba_vs_l "

@@ -282,7 +282,8 @@ def i2(spark, sf):
                          "CAST(CASE o_orderkey % 3 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS free_arms, CAST(greatest(o_orderkey % 3 - 1, 0) AS INTEGER) AS earlier_pitchers, CAST(o_orderkey % 3 AS INTEGER) AS finished FROM orders, (VALUES (2, 1), (1, 2), (3, 3)) v(k, b)")
 def i3(spark, sf):
     d = D.game_detail(docs.live_documents(spark, sf))
-    return d.select("game_pk", F.explode("home.lineup").alias("l"), F.size("home.bullpen").alias("free_arms"), F.size("home.pitchers_used").alias("earlier_pitchers"), F.size("plays").alias("finished")).select(
+    d = d.select("game_pk", F.col("home.lineup").alias("lineup"), F.size("home.bullpen").alias("free_arms"), F.size("home.pitchers_used").alias("earlier_pitchers"), F.size("plays").alias("finished"))
+    return D.fan_out(d, ["game_pk", "free_arms", "earlier_pitchers", "finished"], F.col("lineup"), "l").select(
         "game_pk", "l.id", "l.name", "l.batting_order", F.col("l.stats.h").alias("h"), "free_arms", "earlier_pitchers", "finished")
 
 

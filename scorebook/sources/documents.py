@@ -56,25 +56,35 @@ def with_errors(raw: DataFrame, schema: str, col: str = "doc") -> tuple[DataFram
     A bad document never fails the job; its row is returned for a later retry.
     """
     ok = F.try_parse_json(F.col(col)).isNotNull()
-    marked = raw.withColumn("parsed", F.when(ok, F.from_json(F.col(col), schema)))
-    return (marked.where(F.col("parsed").isNotNull()),
-            raw.where(F.col(col).isNull() | ~ok))
+    good = raw.where(ok).withColumn("parsed", F.from_json(F.col(col), schema))
+    return good, raw.where(F.col(col).isNull() | ~ok)
 
 
 def _ts(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def fan_out(df: DataFrame, keep: list[str], items: Column, *names: str) -> DataFrame:
+    """One row per element of an array or map.
+
+    A plain ``explode`` makes the optimizer add a "not empty" filter below, which repeats the
+    whole expression, JSON parsing included. The outer form does not; its empty rows are
+    dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 def explode_schedule(raw: DataFrame, col: str = "doc") -> DataFrame:
-    d = raw.select(F.explode(F.from_json(F.col(col), SCHEDULE)["dates"]).alias("d"))
-    return d.select(F.col("d.date").alias("schedule_date"), F.explode("d.games").alias("g")).select("schedule_date", "g.*")
+    d = fan_out(raw, [], F.from_json(F.col(col), SCHEDULE)["dates"], "d")
+    d = d.select(F.col("d.date").alias("schedule_date"), F.col("d.games").alias("games"))
+    return fan_out(d, ["schedule_date"], F.col("games"), "g").select("schedule_date", "g.*")
 
 
 def flatten_plays(raw: DataFrame, key: str = "game_pk", col: str = "doc") -> DataFrame:
     """One row per play event with its plate appearance's context; plays without index are dropped."""
-    p = raw.select(key, F.explode(F.from_json(F.col(col), GAME)["liveData"]["plays"]["allPlays"]).alias("p"))
+    p = fan_out(raw, [key], F.from_json(F.col(col), GAME)["liveData"]["plays"]["allPlays"], "p")
     p = p.where(F.col("p.about.atBatIndex").isNotNull())
-    e = p.select(key, "p.about", "p.result", "p.matchup", F.explode("p.playEvents").alias("e"))
+    e = fan_out(p, [key, "p.about", "p.result", "p.matchup"], F.col("p.playEvents"), "e")
     return e.select(
         key, (F.col("about.atBatIndex") + 1).alias("at_bat_number"), F.col("e.index").alias("play_event_index"),
         F.col("e.pitchNumber").alias("pitch_number"), F.col("e.playId").alias("play_id"),
@@ -100,7 +110,7 @@ def flatten_plays(raw: DataFrame, key: str = "game_pk", col: str = "doc") -> Dat
 
 def flatten_players(raw: DataFrame, col: str = "doc") -> DataFrame:
     """Player records from ``{"people": [...]}`` responses."""
-    p = raw.select(F.explode(F.from_json(F.col(col), f"struct<people:array<{PERSON}>>")["people"]).alias("p"))
+    p = fan_out(raw, [], F.from_json(F.col(col), f"struct<people:array<{PERSON}>>")["people"], "p")
     return p.select(
         F.col("p.id").alias("player_id"), F.col("p.fullName").alias("full_name"), F.col("p.firstName").alias("first_name"),
         F.col("p.lastName").alias("last_name"), F.col("p.primaryPosition.abbreviation").alias("position"),
@@ -113,10 +123,9 @@ def flatten_players(raw: DataFrame, col: str = "doc") -> DataFrame:
 def flatten_boxscore(raw: DataFrame, key: str = "game_pk", col: str = "doc") -> DataFrame:
     """One row per player of both sides, with lineup slot and starter flag."""
     box = F.from_json(F.col(col), BOXSCORE)["teams"]
-    sides = F.array(F.struct(F.lit("away").alias("side"), box["away"].alias("t")),
-                    F.struct(F.lit("home").alias("side"), box["home"].alias("t")))
-    t = raw.select(key, F.explode(sides).alias("s")).select(key, "s.side", "s.t")
-    p = t.select(key, "side", "t", F.explode("t.players").alias("__id", "p"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col("__b")[s].alias("t")) for s in ("away", "home")])
+    t = fan_out(raw.withColumn("__b", box), [key], sides, "s").select(key, "s.side", "s.t")
+    p = fan_out(t, [key, "side", "t"], F.col("t.players"), "__id", "p")
     pid = F.col("p.person.id")
     slot = F.nullif(F.array_position("t.battingOrder", pid), F.lit(0).cast("long"))
     starter = F.try_element_at("t.pitchers", F.lit(1)).eqNullSafe(pid)

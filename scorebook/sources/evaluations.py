@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorebook.sources.documents import fan_out
+
 HORIZON = ("struct<n_reached:int,pred_we:double,pred_we_std:double,actual_we:double,"
            "pred_run_diff:struct<mean:double,std:double>,actual_home_score:int,actual_away_score:int>")
 GAME = ("struct<game_pk:bigint,game_date:string,entry:struct<inning:int,half:int,outs:int,bases:int,run_diff:int,"
@@ -24,7 +26,7 @@ def parse_runs(raw: DataFrame, col: str = "results") -> DataFrame:
 
 
 def _games(parsed: DataFrame) -> DataFrame:
-    return parsed.select("eval_id", F.explode("__r.games").alias("g"))
+    return fan_out(parsed, ["eval_id"], F.col("__r.games"), "g")
 
 
 def eval_games(parsed: DataFrame) -> DataFrame:
@@ -41,14 +43,13 @@ def eval_games(parsed: DataFrame) -> DataFrame:
 
 
 def eval_levels(parsed: DataFrame) -> DataFrame:
-    return parsed.select("eval_id", F.explode("__r.level_diagnostics").alias("level", "v")).select("eval_id", "level", "v.*")
+    return fan_out(parsed, ["eval_id"], F.col("__r.level_diagnostics"), "level", "v").select("eval_id", "level", "v.*")
 
 
 def eval_convergence(parsed: DataFrame) -> DataFrame:
     """State keys without a ``|`` are dropped; a spread of 0 counts as not measured."""
-    states = parsed.select("eval_id", F.explode("__r.convergence").alias("state", "levels")).where(
-        F.col("state").contains("|"))
-    rows = states.select("eval_id", "state", F.explode("levels").alias("level", "curve"))
+    states = fan_out(parsed, ["eval_id"], F.col("__r.convergence"), "state", "levels").where(F.col("state").contains("|"))
+    rows = fan_out(states, ["eval_id", "state"], F.col("levels"), "level", "curve")
 
     def value(name: str) -> Column:
         return F.try_element_at("curve", F.lit(name))
@@ -61,7 +62,7 @@ def eval_convergence(parsed: DataFrame) -> DataFrame:
 
 
 def eval_horizons(parsed: DataFrame) -> DataFrame:
-    h = _games(parsed).select("eval_id", "g.game_pk", F.explode("g.horizons").alias("horizon", "h"))
+    h = fan_out(_games(parsed), ["eval_id", "g.game_pk"], F.col("g.horizons"), "horizon", "h")
     return h.select(
         "eval_id", "game_pk", "horizon", "h.n_reached", "h.pred_we", "h.pred_we_std", "h.actual_we",
         F.col("h.pred_run_diff.mean").alias("pred_run_diff_mean"), F.col("h.pred_run_diff.std").alias("pred_run_diff_std"),
@@ -69,7 +70,7 @@ def eval_horizons(parsed: DataFrame) -> DataFrame:
 
 
 def decompose_eval(raw: DataFrame, col: str = "results") -> dict[str, DataFrame]:
-    parsed = parse_runs(raw, col).where(F.col("__r").isNotNull())
+    parsed = parse_runs(raw, col)  # rows that are not JSON fan out to nothing
     return {"games": eval_games(parsed), "levels": eval_levels(parsed), "convergence": eval_convergence(parsed),
             "horizons": eval_horizons(parsed)}
 
