@@ -14,6 +14,7 @@ from scorebook.operators.cumulate import carry_forward, cumulate, rest_days, run
 from scorebook.operators.windows import first_pitch, game_state, pull_labels, re_features, recent_whip, terminal_pitch
 from scorebook.plans import profiles as P
 from scorebook.plans import vectors as V
+from scorebook.sources.tables import staged
 
 SPLIT = "2020-01-01"
 
@@ -306,8 +307,10 @@ INT_FEATURES = set(V.STATE_FEATURES) - set(RATIOS) | {"bat_s_pa", "bat_c_pa", "p
 
 
 def vectors(spark, sf):
-    e = roles.events(spark, sf)
-    return V.feature_vectors(game_state(e), P.batter_profile_fused(e), P.pitcher_profile_fused(e), appearances=e)
+    """The layered build: events, state and profiles are tables, the vector is read from them."""
+    e = staged(roles.events(spark, sf), "events")
+    return V.feature_vectors(staged(game_state(e), "state"), staged(P.batter_profile_fused(e), "batters"),
+                             staged(P.pitcher_profile_fused(e), "pitchers"))
 
 
 query("c7_feature_vectors", S.core(["state", "bprofile", "pprofile"], _vector_sql()),
@@ -339,5 +342,5 @@ J13 = ("outing_runs outing_walks outing_hits outing_k pitcher_recent_whip avg_bf
  ASOF JOIN pitchers p ON l.pitcher_id = p.pitcher_id AND s.game_date >= p.game_date WHERE s.game_date >= DATE '2018-01-01'"""),
        doubles="outing_whip pitcher_recent_whip avg_bf_per_app current_re re_diff")
 def j13(spark, sf):
-    e = roles.events(spark, sf)
+    e = staged(roles.events(spark, sf), "events")
     return V.exit_training(game_state(e), P.pitchers(C.pitcher_counts(e)))

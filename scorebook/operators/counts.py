@@ -4,6 +4,9 @@ Every function is one ``groupBy`` over conditional aggregates, so Spark combines
 side and ships one row per (player, date) and input partition, however many pitches a player
 or a day holds. ``entity``, ``day`` and ``season`` name the grouping columns.
 
+Each table is filtered first: an aggregate that carried all tables' columns at once would
+evaluate every condition for every pitch and outgrow the JIT compiler's method limit.
+
 The aggregates are Spark SQL texts: there are about a hundred per table, and parsing a text is
 far cheaper than building the same tree call by call through the Python gateway.
 """

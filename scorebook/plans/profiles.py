@@ -42,53 +42,39 @@ def pitcher_profile_by_tables(events: DataFrame) -> DataFrame:
     return pitcher_profile(pitchers(C.pitcher_counts(events)), pitcher_arsenal(C.pitcher_arsenal_counts(events)))
 
 
-# --- fused form --------------------------------------------------------------
-# The count tables group the same events by the same key and differ in their row filters only.
-# With the filters moved into the aggregates, one scan and one shuffle feed all of them, and one
-# window pass replaces the joins. A date without rows in a part gets NULL for that part's
-# columns, as the left joins would give.
-
-def _fused(events: DataFrame, entity: str, parts: dict[str, tuple], extra: dict[str, str] | None = None) -> DataFrame:
-    """``parts``: name -> (row filter, aggregates, column names).
-
-    Sums over the rows of a part are zero or NULL on a day only other parts have rows for, and so
-    leave the part's totals unchanged.
-    """
-    aggs = [a for rows, make, _ in parts.values() for a in make(rows)]
-    marks = [F.expr(C.count_where(rows)).alias(f"__n_{p}") for p, (rows, _, _) in parts.items()]
-    more = [F.expr(e).alias(n) for n, e in (extra or {}).items()]
-    daily = events.groupBy(entity, "game_date", "season").agg(*aggs, *more, *marks)
-    return daily.where(" OR ".join(f"__n_{p} > 0" for p in parts))
-
-
-def _profile_sums(daily: DataFrame, entity: str, parts: dict[str, list[str]], base: str) -> DataFrame:
-    """Running sums of all parts in one window pass, then the rows of the base part."""
-    names = [n for cols in parts.values() for n in cols]
-    sums = running_sums(daily, entity, names, keep=[f"__n_{p}" for p in parts]).where(f"__n_{base} > 0")
-    cols = [f"{s}_{n}" if p == base else f"CASE WHEN __n_{p} > 0 THEN {s}_{n} END AS {s}_{n}"
-            for p, members in parts.items() for s in ("s", "c") for n in members]
-    return sums.selectExpr(entity, "game_date", "season", *cols)
+# --- one pass of windows ------------------------------------------------------
+# The count tables of a player share their grouping keys, so after their aggregations they are
+# already partitioned alike: outer joins on those keys move nothing, and one window pass over the
+# joined daily rows replaces a window pass per table and wide joins of the results. A date
+# without rows in a part gets NULL for that part's columns, as left joins of the finished tables
+# would give; NULL days leave the part's running sums unchanged.
+
+def _merge_daily(parts: dict[str, DataFrame], entity: str) -> DataFrame:
+    keys, out = [entity, "game_date", "season"], None
+    for name, daily in parts.items():
+        marked = daily.withColumn(f"__in_{name}", F.lit(True))
+        out = marked if out is None else out.join(marked, keys, "full_outer")
+    return out
+
+
+def _profile_sums(parts: dict[str, DataFrame], entity: str, base: str) -> DataFrame:
+    """Running sums of all parts, then the rows of the base part."""
+    keys = [entity, "game_date", "season"]
+    names = {p: [c for c in df.columns if c not in keys] for p, df in parts.items()}
+    sums = running_sums(_merge_daily(parts, entity), entity, [n for ns in names.values() for n in ns],
+                        keep=[f"__in_{p}" for p in parts]).where(f"__in_{base}")
+    cols = [f"{s}_{n}" if p == base else f"CASE WHEN __in_{p} THEN {s}_{n} END AS {s}_{n}"
+            for p, ns in names.items() for s in ("s", "c") for n in ns]
+    return sums.selectExpr(*keys, *cols)
 
 
 def batter_profile_fused(events: DataFrame) -> DataFrame:
-    parts = {
-        "b": (C.FINISHED, C.batter_aggs, C.batter_names()),
-        "a": (C.CLASSIFIED, C.batter_arsenal_aggs, C.batter_arsenal_names()),
-        "d": (C.JUDGED, C.discipline_aggs, C.discipline_names()),
-    }
-    daily = _fused(events, "batter_id", parts)
-    sums = _profile_sums(daily, "batter_id", {p: names for p, (_, _, names) in parts.items()}, base="b")
+    parts = {"b": C.batter_counts(events), "a": C.batter_arsenal_counts(events), "d": C.batter_discipline_counts(events)}
+    sums = _profile_sums(parts, "batter_id", base="b")
     return rates.discipline_rates(rates.batter_arsenal_rates(rates.batting_rates(sums)))
 
 
 def pitcher_profile_fused(events: DataFrame) -> DataFrame:
-    parts = {
-        "p": (C.FINISHED, C.pitcher_aggs, C.gen(C.PITCHER_COLS)),
-        "a": (C.KNOWN, C.pitcher_arsenal_aggs, C.pitcher_arsenal_names()),
-    }
-    # Pitches of a day without a finished appearance are not counted.
-    finished = f"{C.count_where(C.FINISHED)} > 0"
-    extra = {"pitches": f"CASE WHEN {finished} THEN count(1) END", "games": f"CASE WHEN {finished} THEN 1 END"}
-    daily = _fused(events, "pitcher_id", parts, extra)
-    sums = _profile_sums(daily, "pitcher_id", {"p": C.pitcher_names(), "a": C.pitcher_arsenal_names()}, base="p")
+    parts = {"p": C.pitcher_counts(events), "a": C.pitcher_arsenal_counts(events)}
+    sums = _profile_sums(parts, "pitcher_id", base="p")
     return rest_days(rates.pitcher_arsenal_rates(rates.pitching_rates(sums)), "pitcher_id")

@@ -75,6 +75,17 @@ def materialize(df: DataFrame, table: VersionedTable, full_refresh: bool = True)
     return table.read()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Several consumers then read only their columns of one finished table, and a lost executor
+    costs a re-read, not the work behind it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # --- increments --------------------------------------------------------------
 
 def new_by_key(src: DataFrame, target: DataFrame, key: str) -> DataFrame:
