@@ -9,8 +9,14 @@ from registry.roles import load
 ISO = "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T12:', lpad(cast({0} as string), 2, '0'), ':00Z')"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The small test tables are one file each; documents normally land in many."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _doc(spark, sf, key: str, expr: str) -> DataFrame:
-    return load(spark, sf, "orders").selectExpr(f"{key} AS game_pk", f"to_json({expr}) AS doc")
+    return spread(load(spark, sf, "orders")).selectExpr(f"{key} AS game_pk", f"to_json({expr}) AS doc")
 
 
 def schedules(spark, sf) -> DataFrame:

@@ -10,9 +10,9 @@ POLL_SCHEMA = ("ts double, response_ms double, changed boolean, error string, ev
 
 
 def write_poll_logs(df: DataFrame, path: str) -> None:
-    """One folder per date and game; rows of a game are brought together once, then written."""
+    """One folder per date and game, with few files each; a game with very many rows is split."""
     rounded = df.withColumn("response_ms", F.round("response_ms", 1))
-    rounded.repartition("game_date", "game_pk").write.partitionBy("game_date", "game_pk").option(
+    rounded.hint("rebalance", "game_date", "game_pk").write.partitionBy("game_date", "game_pk").option(
         "ignoreNullFields", "false").mode("append").json(path)
 
 

@@ -137,7 +137,8 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list
     old = spark.read.parquet(path).join(touched, partition_by, "left_semi")
     stage = fresh_path(spark, "upsert")
     delete_insert(old, new.select(*old.columns), keys).write.parquet(stage)
-    spark.read.parquet(stage).repartition(*partition_by).write.mode("overwrite").option(
+    # Rebalancing gathers each partition's rows into few files and splits a partition that is too big.
+    spark.read.parquet(stage).hint("rebalance", *partition_by).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 

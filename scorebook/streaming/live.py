@@ -10,10 +10,10 @@ split by the bucketed scan instead of being gathered in one Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ class KeyedChanges:
     order: list[str]
     step: Step
 
-    def _state(self, batch_id: int) -> str:
+    def state_folder(self, batch_id: int) -> str:
         return f"{self.path}/state/b={batch_id:08d}"
 
     def output(self, batch_id: int) -> str:
@@ -48,7 +48,7 @@ class KeyedChanges:
 
     def previous(self, batch_id: int) -> DataFrame | None:
         """State after the batch before ``batch_id``. Every batch writes one, so it is the next lower id."""
-        path = self._state(batch_id - 1)
+        path = self.state_folder(batch_id - 1)
         return self.spark.read.parquet(path) if exists(self.spark, f"{path}/_SUCCESS") else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +61,7 @@ class KeyedChanges:
             rows = before.withColumn("__new", F.lit(False)).unionByName(rows)
         self.step(rows).where("__new").drop("__new").write.mode("overwrite").parquet(self.output(batch_id))
         newest = dedup_latest(rows.drop("__new"), [self.key], [F.col(c).desc() for c in self.order])
-        newest.write.mode("overwrite").parquet(self._state(batch_id))
+        newest.write.mode("overwrite").parquet(self.state_folder(batch_id))
 
     def read(self) -> DataFrame:
         """All output written so far."""
@@ -70,9 +70,9 @@ class KeyedChanges:
     def snapshot(self) -> DataFrame:
         """Newest row per key after the last finished batch."""
         done = 0
-        while exists(self.spark, f"{self._state(done + 1)}/_SUCCESS"):
+        while exists(self.spark, f"{self.state_folder(done + 1)}/_SUCCESS"):
             done += 1
-        return self.spark.read.parquet(self._state(done))
+        return self.spark.read.parquet(self.state_folder(done))
 
 
 def drop_repeats_step(key: str, order: list[str], bucket: Column, cols: list[str]) -> Step:
@@ -147,50 +147,31 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     q.awaitTermination()
 
 
-# --- timers ------------------------------------------------------------------
+# --- silence -----------------------------------------------------------------
 
-STALE_SCHEMA = "game_pk long, quiet_ms long"
+@dataclass
+class StaleAlerts:
+    """``foreachBatch`` sink that reports live keys without a new row for ``seconds``.
 
+    The newest row per key is kept like in :class:`KeyedChanges`; every batch checks all keys
+    against the clock, so a key is found although it sends nothing.
+    """
 
-def stale_processor(seconds: int = 120):
-    """Processor for ``transformWithStateInPandas``: alert when a live key is silent too long.
+    spark: SparkSession
+    path: str
+    key: str
+    ts: str
+    seconds: int = 120
+    state: str = "abstract_game_state"
+
+    def __call__(self, batch: DataFrame, batch_id: int, now: datetime | None = None) -> None:
+        keep = KeyedChanges(self.spark, self.path, self.key, [self.ts], lambda df: df)
+        before = keep.previous(batch_id)
+        rows = batch if before is None else before.unionByName(batch)
+        dedup_latest(rows, [self.key], [F.col(self.ts).desc()]).write.mode("overwrite").parquet(keep.state_folder(batch_id))
+        newest = self.spark.read.parquet(keep.state_folder(batch_id))
+        alerts = feeds.stale(newest, now or datetime.now(timezone.utc), self.seconds, self.key, self.state, self.ts)
+        alerts.write.mode("overwrite").parquet(keep.output(batch_id))
 
-    State is two numbers per key. A processing-time timer fires ``seconds`` after the last
-    change; a final game clears its state.
-    """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    class Stale(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.last = handle.getValueState("last", "hash long, at long")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            old = self.last.get() if self.last.exists() else None
-            newest, final = None, False
-            for pdf in rows:
-                top = pdf.loc[pdf["ts"].idxmax()]
-                if newest is None or top["ts"] > newest["ts"]:
-                    newest = top
-                final = final or bool((pdf["abstract_game_state"] == "Final").any())
-            if final:
-                for t in self.handle.listTimers():
-                    self.handle.deleteTimer(t)
-                self.last.clear()
-            elif newest is not None and (old is None or old[0] != int(newest["state_hash"])):
-                for t in self.handle.listTimers():
-                    self.handle.deleteTimer(t)
-                self.last.update((int(newest["state_hash"]), now))
-                self.handle.registerTimer(now + seconds * 1000)
-            yield pd.DataFrame({"game_pk": pd.Series([], dtype="int64"), "quiet_ms": pd.Series([], dtype="int64")})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.last.exists():
-                now = timerValues.getCurrentProcessingTimeInMs()
-                yield pd.DataFrame({"game_pk": [int(key[0])], "quiet_ms": [now - int(self.last.get()[1])]})
-
-        def close(self) -> None:
-            pass
-
-    return Stale()
+    def read(self) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/out")

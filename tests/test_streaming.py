@@ -91,3 +91,13 @@ def test_alerts(spark):
                               "game_pk long, abstract_game_state string, poll_count long, error_count long, consecutive_errors long, avg_response_ms double, last_change_at timestamp")
     got = rows(feeds.feed_alerts(m, T0 + timedelta(seconds=121)), "game_pk", "kind")
     assert got == [(1, "consecutive_errors"), (1, "high_error_rate"), (1, "no_change"), (2, "slow_responses")]
+
+
+def test_stale_alerts_follow_the_snapshot(spark):
+    """A silent live game is found on any batch, whether or not it sent rows itself."""
+    path = fresh_path(spark, "stale")
+    sink = live.StaleAlerts(spark, path, "game_pk", "ts", seconds=120)
+    df = spark.createDataFrame([(1, T0, "Live"), (2, T0, "Final"), (3, T0 + timedelta(minutes=5), "Live")], "game_pk long, ts timestamp, abstract_game_state string")
+    sink(df.where("game_pk < 3"), 0, now=T0 + timedelta(seconds=60))
+    sink(df.where("game_pk = 3"), 1, now=T0 + timedelta(minutes=6))
+    assert rows(sink.read(), "game_pk", "quiet_seconds") == [(1, 360.0)]
