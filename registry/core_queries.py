@@ -307,10 +307,9 @@ INT_FEATURES = set(V.STATE_FEATURES) - set(RATIOS) | {"bat_s_pa", "bat_c_pa", "p
 
 
 def vectors(spark, sf):
-    """The layered build: events, state and profiles are tables, the vector is read from them."""
+    """Processed events are a table; state and profiles are computed from it, each for one use."""
     e = staged(roles.events(spark, sf), "events")
-    return V.feature_vectors(staged(game_state(e), "state"), staged(P.batter_profile_fused(e), "batters"),
-                             staged(P.pitcher_profile_fused(e), "pitchers"))
+    return V.feature_vectors(game_state(e), P.batter_profile_fused(e), P.pitcher_profile_fused(e), appearances=e)
 
 
 query("c7_feature_vectors", S.core(["state", "bprofile", "pprofile"], _vector_sql()),

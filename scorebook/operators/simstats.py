@@ -185,7 +185,10 @@ def gamma_schedule(conv: DataFrame, sens: DataFrame | None = None) -> DataFrame:
 # --- horizon weights ---------------------------------------------------------
 
 def horizon_errors(horizons: DataFrame, games: DataFrame) -> DataFrame:
-    """Rows (state_key, game_pk, hz, pred, outcome, entry) usable for the weights."""
+    """Rows (state_key, game_pk, hz, pred, outcome, entry) usable for the weights.
+
+    Expects the rows of one run.
+    """
     h = horizons.where(F.col("horizon").like("+%hi") & F.col("pred_we").isNotNull()).select(
         "eval_id", "game_pk", F.regexp_extract("horizon", r"^\+(\d+)hi$", 1).cast("int").alias("hz"), "pred_we")
     g = games.where(F.col("actual_home_win").isNotNull() & F.col("entry_we_baseline").isNotNull()

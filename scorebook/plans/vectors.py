@@ -50,15 +50,18 @@ def feature_vectors(state: DataFrame, batters: DataFrame, pitchers: DataFrame, s
     p_cols = [f"{n}_vs_{h}" for n in PITCHER_SPLIT for h in ("l", "r")] + PITCHER_PLAIN + ["pitcher_rest_days"]
     b = batters.selectExpr("batter_id", "game_date", *[f"{c} AS b_{c}" for c in b_cols])
     p = pitchers.selectExpr("pitcher_id", "game_date", *[f"{c} AS p_{c}" for c in p_cols])
-    wide = asof_join(state, b, ["batter_id"], "game_date", "game_date", strict, probes=pairs)
-    wide = asof_join(wide, p, ["pitcher_id"], "game_date", "game_date", strict, probes=pairs)
-    features = ([F.col(c) for c in STATE_FEATURES]
-                + platoon_columns("pitch_hand", "bat_", BATTER_SPLIT, "b_")
-                + [F.expr(f"b_{c} AS bat_{c}") for c in BATTER_PLAIN]
-                + platoon_columns("bat_side", "pit_", PITCHER_SPLIT, "p_")
-                + [F.expr(f"p_{c} AS pit_{c}") for c in PITCHER_PLAIN]
-                + [F.col("p_pitcher_rest_days").alias("pit_rest_days")])
-    return wide.select("game_pk", "at_bat_number", "pitch_number", "game_date", *features, "target")
+    # The hand is chosen right after each join: one variant instead of two travels on.
+    keys = ["game_pk", "at_bat_number", "pitch_number", "game_date"]
+    rows = asof_join(state, b, ["batter_id"], "game_date", "game_date", strict, probes=pairs).select(
+        *keys, "pitcher_id", "bat_side", *STATE_FEATURES, "target",
+        *platoon_columns("pitch_hand", "bat_", BATTER_SPLIT, "b_"),
+        *[F.expr(f"b_{c} AS bat_{c}") for c in BATTER_PLAIN])
+    batter_features = [f"bat_{c}" for c in BATTER_SPLIT + BATTER_PLAIN]
+    return asof_join(rows, p, ["pitcher_id"], "game_date", "game_date", strict, probes=pairs).select(
+        *keys, *STATE_FEATURES, *batter_features,
+        *platoon_columns("bat_side", "pit_", PITCHER_SPLIT, "p_"),
+        *[F.expr(f"p_{c} AS pit_{c}") for c in PITCHER_PLAIN],
+        F.col("p_pitcher_rest_days").alias("pit_rest_days"), "target")
 
 
 def exit_training(state: DataFrame, pitchers: DataFrame, since: str = "2018-01-01", block: int = 64) -> DataFrame:
