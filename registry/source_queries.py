@@ -391,7 +391,8 @@ SITUATION = ["inning", "outs", "balls", "strikes", "run_diff", "times_through_or
 def _labelled(spark, sf):
     st = terminal_pitch(game_state(roles.events(spark, sf))).withColumn("row_id", F.col("game_pk") * 100 + F.col("at_bat_number"))
     group = F.when(F.col("target").isin(S.K.HITS), "hit").when(F.col("target").isin(S.K.WALKS + ["hit_by_pitch"]), "walk").otherwise("out")
-    return boards.split3(boards.encode(st.withColumn("outcome", group), "outcome"), "outcome", ["row_id"])
+    # Training passes over its rows many times: they are a finished table first.
+    return T.staged(boards.split3(boards.encode(st.withColumn("outcome", group), "outcome"), "outcome", ["row_id"]), "labelled")
 
 
 def _model(data):
@@ -409,7 +410,7 @@ def j6(spark, sf):
 def j7(spark, sf):
     from registry.core_queries import j13
 
-    rows = j13(spark, sf)
+    rows = T.staged(j13(spark, sf), "exit-rows")
     model = ml.train_exit_model(rows, ["pitcher_bf_game", "outing_runs", "inning", "run_diff", "avg_bf_per_app"], rounds=2, depth=2)
     return ml.class_probabilities(rows, model, ["pitcher_bf_game", "outing_runs", "inning", "run_diff", "avg_bf_per_app"], ["game_pk", "at_bat_number"]).select(
         "game_pk", "at_bat_number", F.element_at("proba", 2).alias("p_pulled"))
