@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from registry import roles, sqlparts as S
 from registry.core import query
-from scorebook.functions import rates
 from scorebook.functions.features import ALL_FEATURES
 from scorebook.operators import counts as C
 from scorebook.operators import joins as J

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import roles, sqlparts as S
 from registry.core import query
-from scorebook import constants as K
-from scorebook.operators import boards, feeds, joins as J, lookups as L
+from scorebook.operators import boards, joins as J, lookups as L
 from scorebook.operators import windows as W
 from scorebook.operators.windows import game_state
 from scorebook.sources.landing import canonical_timed_events
