@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,21 +37,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "score
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of its own machine.
-    """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    known = getattr(shared_dir, "_local", None)
-    if known is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        known = tempfile.mkdtemp(prefix="scorebook-")
-        shared_dir._local = known
-    return known
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder below the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
