@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import mixing, urls
+from scorebook.llm import langid, mixing, simhash, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,13 @@ FROM (SELECT u.*, row_number() OVER () AS n FROM u) LEFT JOIN rules
   ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 GROUP BY n, page_id, host, path
 """
+
+
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
