@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import langid, mixing, simhash, urls
+from scorebook.llm import langid, mixing, quality, simhash, spans, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
