@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import counts, langid, mixing, quality, simhash, spans, tokens, urls
+from scorebook.llm import counts, decontam, langid, mixing, quality, search, simhash, spans, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 as a query against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    found = search.top_k(search.build_index(docs), docs.where("doc_id % 100 = 0"))
+    return found.selectExpr("query_id", "rank", "doc_id", "round(score, 6) AS score")
+
+
+ORACLE["op4_topk_search"] = """
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lens AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM lens) / (SELECT count(*) FROM documents) AS mean),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term, n),
+hits AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+         FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN lens ON lens.doc_id = d.doc_id, stats
+         WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits) WHERE rank <= 10
+"""
