@@ -71,6 +71,9 @@ def sainte_lague(keys: DataFrame, group: list[str], key: str, share: str, seats:
     return df.join(won, [*group, key], "left").withColumn("quota", F.col("lo") + F.coalesce("won", F.lit(0))).drop("lo", "hi", "open", "won")
 
 
+CHOSEN = "(b * step + shift) % blocks < once"
+
+
 def _prime(h: Column) -> Column:
     return F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (h % len(PRIMES) + 1).cast("int"))
 
@@ -91,17 +94,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return place(staged(sized(docs, id_col, text_col, source_col), "mix-sizes"), docs_per_shard, seed)
 
 
-def place(sizes: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """``mix`` over staged sizes; other columns of ``sizes`` are kept."""
+def place(sizes: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED, rows: DataFrame | None = None) -> DataFrame:
+    """``mix`` over staged sizes; ``rows`` are the same documents with doc_id, source, size and whatever is to be kept."""
     sources = staged(source_targets(sizes, docs_per_shard), "mix-sources")
     seated = sainte_lague(sources.withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long")), [], "idx", "target", "seats")
     seated = seated.select("idx", F.col("quota").alias("source_quota"), "block")
 
-    laid = (sizes.alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source"))
-            .select("d.*", "s.idx", "s.source_size", "s.target", "s.block", "s.shards")
-            .withColumn("h", token_hash(F.lit(seed), "doc_id"))
-            .withColumn("shard", F.col("h") % F.col("shards")))
-    shards = laid.groupBy("idx", "shard").agg(F.sum("size").alias("words"))
+    def dealt(df: DataFrame) -> DataFrame:
+        return (df.alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source"))
+                .select("d.*", "s.idx", "s.source_size", "s.target", "s.block", "s.shards")
+                .withColumn("h", token_hash(F.lit(seed), "doc_id")).withColumn("shard", F.col("h") % F.col("shards")))
+
+    shards = dealt(sizes).groupBy("idx", "shard").agg(F.sum("size").alias("words"))
     quotas = sainte_lague(shards.join(seated, "idx"), ["idx"], "shard", "words", "source_quota")
     blocks = F.ceil(F.col("words") / F.col("block")).cast("long")
     h = token_hash(F.lit(seed), "idx", "shard")
@@ -112,8 +116,33 @@ def place(sizes: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SE
                       (_prime(F.col("h")) % F.greatest("blocks", F.lit(1))).alias("step"),
                       (F.col("h") % F.greatest("blocks", F.lit(1))).alias("shift")))
     order = Window.partitionBy("idx", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = laid.withColumn("x1", F.sum("size").over(order)).withColumn("x0", F.col("x1") - F.col("size"))
+    laid = dealt(sizes if rows is None else rows).withColumn("x1", F.sum("size").over(order)).withColumn("x0", F.col("x1") - F.col("size"))
     out = laid.join(quotas, ["idx", "shard"])
-    more = F.expr("""aggregate(sequence(x0 div block, (x1 - 1) div block), 0L, (acc, b) -> acc +
-        if((b * step + shift) % blocks < once, least(x1, (b + 1) * block) - greatest(x0, b * block), 0L))""")
+    more = F.expr(f"""aggregate(sequence(x0 div block, (x1 - 1) div block), 0L, (acc, b) -> acc +
+        if({CHOSEN}, least(x1, (b + 1) * block) - greatest(x0, b * block), 0L))""")
     return out.withColumn("taken", F.when(F.col("size") > 0, F.col("every") * F.col("size") + more).otherwise(F.lit(0)).cast("long"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars",
+          docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED) -> DataFrame:
+    """The mix as rows of ``docs``: a document's whole text as often as all its blocks are taken, and one more row
+    with the words of the blocks that are taken once more, joined by spaces. ``length_col`` follows the text.
+    Documents that the mix does not take, and those without a word, have no row.
+    """
+    whole = docs.select(F.struct("*").alias("row"))
+    field = lambda name: F.col("row").getField(name)
+    rows = whole.select("row", field(id_col).alias("doc_id"), field(source_col).alias("source"),
+                        F.coalesce(F.regexp_count(field(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    laid = place(staged(sized(docs, id_col, text_col, source_col), "mix-sizes"), docs_per_shard, seed, rows)
+    part = F.array_join(F.filter(F.regexp_extract_all(field(text_col), F.lit(WORD), F.lit(0)), lambda w, i: _taken(i)), " ")
+    copies = F.sequence(F.lit(0), F.col("every") - F.when(F.col("taken") > F.col("every") * F.col("size"), 0).otherwise(1))
+    out = laid.where("taken > 0").select("row", F.explode(copies).alias("copy"), "every", "once", "x0", "block", "blocks", "step", "shift")
+    out = out.select("row", F.when(F.col("copy") < F.col("every"), field(text_col)).otherwise(part).alias("text"))
+    other = {text_col: F.col("text"), length_col: F.length("text").cast(docs.schema[length_col].dataType) if length_col in docs.columns else None}
+    return out.select(*[(other[c] if c in other else field(c)).alias(c) for c in docs.columns])
+
+
+def _taken(i: Column) -> Column:
+    """Whether the document's word ``i`` lies in a block taken once more."""
+    b = F.floor((F.col("x0") + i) / F.col("block"))
+    return (b * F.col("step") + F.col("shift")) % F.col("blocks") < F.col("once")

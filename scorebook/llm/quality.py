@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.llm.common import narrow, slices, text_bytes
@@ -185,17 +185,42 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score is 0.5. Repeated rows get the same score; an empty table gives an empty result.
     """
     df = narrow(docs, doc_id=id_col, text=text_col)
-    fold = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds == 1
-    known = narrow(labels, doc_id="doc_id", quality="quality").where("doc_id is not null").where(~fold(F.col("doc_id")))
-    net = train(df, known, rows, epochs, seed)
+    net = learned(df, labels, folds, rows, epochs, seed)
 
     def predict(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for b in it:
             for part in slices(b, limit=SLICE):
-                p = probabilities(net, tables, part.column("text")) if net else np.full(part.num_rows, 0.5)
+                p = scored(net, tables, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                                  ["doc_id", "held_out", "score", "predicted"])
 
-    return df.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
+    return df.select("doc_id", held_out("doc_id", folds).alias("held_out"), "text").mapInArrow(
         predict, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def held_out(id_col: str, folds: int) -> Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 1
+
+
+def learned(docs: DataFrame, labels: DataFrame, folds: int = 3, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, seed: int = SEED) -> Net | None:
+    """The net learned from the labelled rows of ``docs`` (doc_id, text) that are not held out."""
+    known = narrow(labels, doc_id="doc_id", quality="quality").where("doc_id is not null").where(~held_out("doc_id", folds))
+    return train(docs, known, rows, epochs, seed)
+
+
+def scored(net: Net | None, tables: list[np.ndarray], texts: pa.Array) -> np.ndarray:
+    return probabilities(net, tables, texts) if net else np.full(len(texts), 0.5)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores at least ``least``."""
+    net, at = learned(narrow(docs, doc_id=id_col, text=text_col), labels), docs.columns.index(text_col)
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables() if net else []
+        for b in it:
+            for part in slices(b.rename_columns([str(i) for i in range(b.num_columns)]), str(at), SLICE):
+                yield part.filter(pa.array(scored(net, tables, part.column(at)) >= least)).rename_columns(b.schema.names)
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorebook.llm.common import narrow, staged
+from scorebook.llm.common import narrow, quoted, staged
 
 RADIUS = 2
 SHINGLE = 3
@@ -105,9 +106,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     prints = staged(fingerprints(docs, id_col, text_col), "simhash")
+    return (prints.join(labels(prints), "fp")
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"))
+
+
+def labels(prints: DataFrame) -> DataFrame:
+    """fp, root, component_id of every distinct fingerprint of staged (doc_id, fp)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp")))
     rooted = staged(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(ids, "root").select("fp", "root", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id."""
+    prints = staged(fingerprints(docs, id_col, text_col), "simhash")
+    stay = (prints.join(labels(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*"))
+
+    def printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
+
+    at = docs.columns.index(text_col)
+    rows = docs.mapInArrow(printed, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    joined = rows.join(stay.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_stays")), quoted(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_stays")), "left_semi")
+    return joined.dropDuplicates([id_col, "_fp"]).drop("_fp")
