@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.session import fresh_path
 
@@ -28,6 +29,20 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[quoted(old).alias(new) for new, old in columns.items()])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def map_rows(df: DataFrame, fn, **added: T.DataType) -> DataFrame:
+    """``mapInArrow`` over whole rows, whatever their columns are called: columns come by position, ``added`` ones last."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(plain.columns, df.schema.fields)], *[T.StructField(k, v) for k, v in added.items()]])
+    return plain.mapInArrow(fn, schema).toDF(*df.columns, *added)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written once to the cluster's shared folder and read back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
@@ -48,7 +63,7 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows whose texts have about ``limit`` bytes at most."""
     lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, size = 0, 0

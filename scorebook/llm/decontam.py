@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scorebook.llm.common import narrow, slices
+from scorebook.llm.common import map_rows, narrow, slices, spare
 
 Q = 10
 #: Edits allowed per character of an item.
@@ -186,7 +185,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> l
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "items",
          q: int = Q, rate: float = RATE, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with an array column ``out``: ids of the benchmark items that occur in the whole text.
+    """``docs`` with a new array column ``out``: ids of the benchmark items that occur in the whole text.
 
     An item of n characters occurs if at most ``rate`` n edits turn it into a run of the text, case and kind of
     white space aside (fewer edits for items so short that q-grams could not show them; none below q
@@ -194,11 +193,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     repeat are all reported. An empty table gives an empty result, an empty benchmark empty arrays.
     """
     spark = docs.sparkSession
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
     at = docs.columns.index(text_col)
-    df = docs.withColumn(out, F.array().cast("array<long>")) if out not in docs.columns else None
-    if df is None:
-        raise ValueError(f"the table has a column {out}")
+    df = docs.withColumn(out, F.array().cast("array<long>"))
     for block in blocks_of(benchmark, item_id, item_text, limit):
         rows = block.collect()
         sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.item for r in rows]))
@@ -207,19 +203,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
             items = None
             for b in it:
                 items = items or Items(*sent.value, q, rate)
-                for part in slices(b.rename_columns([str(i) for i in range(b.num_columns)]), str(at)):
+                for part in slices(b, at):
                     found = items.found([t or "" for t in part.column(at).to_pylist()])
                     old = part.column(part.num_columns - 1).to_pylist()
                     new = pa.array([sorted({*o, *f}) for o, f in zip(old, found)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], new], b.schema.names)
 
-        df = df.mapInArrow(scan, schema)
+        df = map_rows(df, scan)
     return df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    return mark(docs, benchmark, out="_items", **options).where(F.size("_items") == 0).drop("_items")
+    out = spare(docs, "_items")
+    return mark(docs, benchmark, out=out, **options).where(F.size(out) == 0).drop(out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -107,14 +107,12 @@ def place(sizes: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SE
 
     shards = dealt(sizes).groupBy("idx", "shard").agg(F.sum("size").alias("words"))
     quotas = sainte_lague(shards.join(seated, "idx"), ["idx"], "shard", "words", "source_quota")
-    blocks = F.ceil(F.col("words") / F.col("block")).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("block"))).cast("long")
     h = token_hash(F.lit(seed), "idx", "shard")
     quotas = (quotas.withColumn("blocks", blocks).withColumn("h", h)
               .withColumn("quota", F.least("quota", MAX_REPEATS * F.col("blocks")))
-              .select("idx", "shard", "blocks", F.expr("coalesce(quota div blocks, 0)").alias("every"),
-                      F.coalesce(F.col("quota") % F.col("blocks"), F.lit(0)).alias("once"),
-                      (_prime(F.col("h")) % F.greatest("blocks", F.lit(1))).alias("step"),
-                      (F.col("h") % F.greatest("blocks", F.lit(1))).alias("shift")))
+              .select("idx", "shard", "blocks", F.expr("quota div blocks").alias("every"), (F.col("quota") % F.col("blocks")).alias("once"),
+                      (_prime(F.col("h")) % F.col("blocks")).alias("step"), (F.col("h") % F.col("blocks")).alias("shift")))
     order = Window.partitionBy("idx", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt(sizes if rows is None else rows).withColumn("x1", F.sum("size").over(order)).withColumn("x0", F.col("x1") - F.col("size"))
     out = laid.join(quotas, ["idx", "shard"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import narrow, slices, text_bytes
+from scorebook.llm.common import map_rows, narrow, slices, text_bytes
 
 WIDTH, STRIDE, HALF = 8, 2, 128
 STEPS = HALF // STRIDE
@@ -220,7 +220,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for b in it:
-            for part in slices(b.rename_columns([str(i) for i in range(b.num_columns)]), str(at), SLICE):
-                yield part.filter(pa.array(scored(net, tables, part.column(at)) >= least)).rename_columns(b.schema.names)
+            for part in slices(b, at, SLICE):
+                yield part.filter(pa.array(scored(net, tables, part.column(at)) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)

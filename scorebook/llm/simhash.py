@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import narrow, quoted, staged
+from scorebook.llm.common import map_rows, narrow, quoted, spare, staged
 
 RADIUS = 2
 SHINGLE = 3
@@ -128,9 +128,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, fp])
 
-    at = docs.columns.index(text_col)
-    rows = docs.mapInArrow(printed, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    joined = rows.join(stay.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_stays")), quoted(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_stays")), "left_semi")
-    return joined.dropDuplicates([id_col, "_fp"]).drop("_fp")
+    at, fp, key = docs.columns.index(text_col), spare(docs, "_fp"), spare(docs, "_id")
+    rows = map_rows(docs, printed, **{fp: T.LongType()})
+    stay = stay.select(F.col("doc_id").alias(key), F.col("fp").alias(spare(docs, "_stays")))
+    joined = rows.join(stay, quoted(id_col).eqNullSafe(F.col(key)) & (F.col(fp) == F.col(stay.columns[1])), "left_semi")
+    return joined.dropDuplicates([id_col, fp]).drop(fp)
