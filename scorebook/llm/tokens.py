@@ -26,8 +26,8 @@ END = 2
 LONGEST = 16
 BLOCK = 512
 CHUNK = 1 << 18
-#: Words whose ids a task keeps; when full, it starts anew.
-KEPT = 300_000
+#: Words whose ids a task keeps; when full, only those that came again stay.
+KEPT = 1_000_000
 
 
 def _path(vocabulary: str | None) -> str:
@@ -38,14 +38,17 @@ class WordEncoder:
     """Ids of texts under a vocabulary in which white space only separates: every word is encoded once."""
 
     def __init__(self, path: str):
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok, self.memo, self.again = Tokenizer.from_file(path), {}, set()
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.memo) > KEPT:
-            self.memo.clear()
-        new = sorted({w for ws in words for w in ws} - self.memo.keys())
+            self.memo = {w: self.memo[w] for w in self.again} if len(self.again) <= KEPT // 2 else {}
+            self.again = set()
+        distinct = set().union(*words)
+        new = sorted(distinct - self.memo.keys())
+        self.again |= distinct.difference(new)
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
