@@ -80,7 +80,7 @@ def b9(spark, sf):
     return h.where(F.col("no").isNotNull()).select("eval_id", "game_pk", "horizon", "no")
 
 
-@query("b10_state_flags", S.core(["kept"], f"SELECT {PK}, is_bottom, runner_1b, runner_2b, runner_3b, is_home FROM ({S.STATE_BASE})"))
+@query("b10_state_flags", S.core([], f"SELECT {PK}, (inning_topbot = 'Bot')::INT AS is_bottom, {S.FLAGS}, (inning_topbot = 'Bot')::INT AS is_home FROM pitches"))
 def b10(spark, sf):
     return B.state_flags(roles.events(spark, sf)).select(*PK.split(", "), "is_bottom", "runner_1b", "runner_2b", "runner_3b", "is_home")
 
@@ -281,14 +281,14 @@ def h10(spark, sf):
         "p_partkey", F.lower("p_type").alias("low"), F.replace("p_brand", F.lit("#"), F.lit("-")).alias("b"))
 
 
-@query("h11_hash_choice", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY user_id")
+@query("h11_hash_choice", "SELECT user_id, CAST(ts AS DATE) AS d, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) "
+                           "ORDER BY (event_id * 7919 + 42) % 1048573, event_id) = 1")
 def h11(spark, sf):
-    """One event per user and day chosen by hash; only the number of chosen rows is comparable."""
-    from scorebook.operators.boards import hash_order
+    """One event per user and day, chosen by an arithmetic hash that both engines have."""
     from scorebook.operators.windows import first_per
 
     e = roles.load(spark, sf, "events").withColumn("d", F.to_date("ts"))
-    return first_per(e, ["user_id", "d"], [hash_order("event_id", seed=42), F.col("event_id")]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return first_per(e, ["user_id", "d"], [F.expr("(event_id * 7919 + 42) % 1048573"), F.col("event_id")]).select("user_id", "d", "event_id")
 
 
 @query("h12_nested_access", "SELECT vec_id, CAST(list_position([label, 3, 7], 7) AS BIGINT) AS pos, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings",

@@ -9,7 +9,7 @@ from registry.core import query
 from scorebook.functions.features import ALL_FEATURES
 from scorebook.operators import counts as C
 from scorebook.operators import joins as J
-from scorebook.operators.cumulate import carry_forward, cumulate, rest_days, running_sums
+from scorebook.operators.cumulate import carry_forward, cumulate, newest_state, rest_days, running_sums
 from scorebook.operators.windows import first_pitch, game_state, pull_labels, re_features, recent_whip, terminal_pitch
 from scorebook.plans import profiles as P
 from scorebook.plans import vectors as V
@@ -92,9 +92,9 @@ def e14(spark, sf):
 
 @query("e14_cumulate_incremental", S.core(["bs"], f"SELECT * FROM bs WHERE game_date >= DATE '{SPLIT}'"), doubles=E14_FLOAT)
 def e14_inc(spark, sf):
-    """Chunk after the split, started from the table built before it: equals the full run."""
+    """Chunk after the split, started from the newest state before it: equals the full run."""
     counts = C.batter_counts(roles.events(spark, sf))
-    return cumulate(since(counts), "batter_id", E14, target=running_sums(before(counts), "batter_id", E14))
+    return cumulate(since(counts), "batter_id", E14, newest=newest_state(before(counts), "batter_id", E14))
 
 
 @query("c9_carry_forward", S.core(["bs"], f"SELECT batter_id, season, game_date, s_pa_vs_l, s_pa_vs_r FROM bs WHERE game_date < "
@@ -166,6 +166,11 @@ def _state_part(name, cols, doubles=()):
 
 query("e2_game_state", S.core(["state"], "SELECT * FROM state"), doubles=RATIOS)(
     lambda spark, sf: game_state(roles.events(spark, sf)))
+NO_PLAYER = {"batter_id": "at_bat_number % 10 = 0", "pitcher_id": "at_bat_number % 17 = 0"}
+_nulls = ", ".join(f"CASE WHEN {w} THEN NULL ELSE {c} END AS {c}" for c, w in NO_PLAYER.items())
+query("e2_game_state_unknown_players", roles.with_ctes(["pitches"], "SELECT * FROM state", {"known": f"SELECT * REPLACE ({_nulls}) FROM pitches", **{
+    n: q.replace("FROM pitches", "FROM known").replace("JOIN pitches", "JOIN known") for n, q in S.STATE.items()}}), doubles=RATIOS)(
+    lambda spark, sf: game_state(roles.events(spark, sf).withColumns({c: F.expr(f"CASE WHEN NOT ({w}) THEN {c} END") for c, w in NO_PLAYER.items()})))
 _state_part("e2_pitch_count", ["pitcher_pitch_count"])
 _state_part("e3_batters_faced", ["pitcher_bf_game", "batter_ab_vs_pitcher"])
 _state_part("e4_outing_counts", ["pitcher_outing_walks", "pitcher_outing_hits", "pitcher_outing_k"])
@@ -175,13 +180,13 @@ _state_part("e7_outing_ratio", ["pitcher_outing_whip"], ["pitcher_outing_whip"])
 _state_part("c12_recent_to_pitches", ["pitcher_id", "pitcher_recent_whip"], ["pitcher_recent_whip"])
 
 
-@query("e8_recent_whip", S.core(["recent"], "SELECT * FROM recent"), doubles=["pitcher_recent_whip"])
+@query("e8_recent_whip", S.core(["state"], "SELECT * FROM form"), doubles=["pitcher_recent_whip"])
 def e8(spark, sf):
     pas = game_state(roles.events(spark, sf)).select("game_pk", "pitcher_id", "at_bat_number", "target").distinct()
     return recent_whip(pas)
 
 
-@query("g3_distinct_pa", S.core(["kept"], "SELECT DISTINCT game_pk, pitcher_id, at_bat_number, target FROM kept"))
+@query("g3_distinct_pa", S.core(["state"], "SELECT * FROM turns"))
 def g3(spark, sf):
     return game_state(roles.events(spark, sf)).select("game_pk", "pitcher_id", "at_bat_number", "target").distinct()
 
@@ -306,9 +311,10 @@ INT_FEATURES = set(V.STATE_FEATURES) - set(RATIOS) | {"bat_s_pa", "bat_c_pa", "p
 
 
 def vectors(spark, sf):
-    """Processed events are a table; state and profiles are computed from it, each for one use."""
+    """Processed events and both profiles are tables: an as-of join reads a profile's dates, then its values."""
     e = staged(roles.events(spark, sf), "events")
-    return V.feature_vectors(game_state(e), P.batter_profile_fused(e), P.pitcher_profile_fused(e), appearances=e)
+    batters, pitchers = staged(P.batter_profile_fused(e), "batters"), staged(P.pitcher_profile_fused(e), "pitchers")
+    return V.feature_vectors(game_state(e), batters, pitchers, appearances=e)
 
 
 query("c7_feature_vectors", S.core(["state", "bprofile", "pprofile"], _vector_sql()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -73,14 +74,30 @@ query("d21_brier_skill", roles.with_ctes(P5, f"SELECT n, brier, naive_brier, 1 -
       "(SELECT sum(f * (1 - f)) AS naive_brier FROM (SELECT count(*)::DOUBLE / (SELECT count(*) FROM predictions) AS f FROM predictions GROUP BY label))"), doubles="brier naive_brier brier_skill")(
     lambda spark, sf: M.brier_skill(pred(spark, sf)))
 query("d21_class_counts", roles.with_ctes(P5, "SELECT label AS class, count(*) AS n FROM predictions GROUP BY label"))(lambda spark, sf: M.class_counts(pred(spark, sf)))
-query("d22_bootstrap_ci")(lambda spark, sf: M.bootstrap_ci(pred(spark, sf), "o_orderkey", n=100))
 
+def bootstrap_sql(metric: str) -> str:
+    """Every replicate written out: the same draws in SQL arithmetic, then percentiles of the replicates."""
+    prime, cdf, total = 2147483647, [], 0.0
+    for k in range(12):
+        total += math.exp(-1) / math.factorial(k)
+        cdf.append(total)
+    draws = f"SELECT *, (o_orderkey % {prime} * 48271 + r * 69621 + 42) % {prime} AS x0 FROM scores, range(1000) t(r)"
+    for i, add in enumerate((12345, 54321)):
+        draws = f"SELECT *, (x{i} * x{i} + o_orderkey % {prime} + {add} * (r + 1)) % {prime} AS x{i + 1} FROM ({draws})"
+    w = " + ".join(f"(x2::DOUBLE / {prime} >= {c!r})::INT" for c in cdf)
+    return roles.with_ctes(P5, "SELECT avg(v) AS mean, quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper, stddev_pop(v) AS std FROM "
+                           f"(SELECT r, {metric} AS v FROM (SELECT r, score, hit, {w} AS w FROM ({draws})) GROUP BY r)",
+                           {"obs": OBS, "scores": "SELECT o_orderkey, sum(power(o - p, 2)) AS score, max(label) = arg_min(class, {'a': -p, 'b': class}) AS hit FROM obs GROUP BY o_orderkey"})
 
-@query("j2_pluggable_metric")
+
+query("d22_bootstrap_ci", bootstrap_sql("sum(w * score) / sum(w)"), doubles="mean ci_lower ci_upper std")(lambda spark, sf: M.bootstrap_ci(pred(spark, sf), "o_orderkey"))
+
+
+@query("j2_pluggable_metric", bootstrap_sql("sum(w * hit::INT)::DOUBLE / sum(w)"), doubles="mean ci_lower ci_upper std")
 def j2(spark, sf):
     """Accuracy instead of the default score: any weighted aggregate can be the metric."""
     rows = pred(spark, sf).withColumn("hit", F.when(F.array_position("proba", F.array_max("proba")) - 1 == F.col("label"), 1.0).otherwise(0.0))
-    return M.bootstrap_ci(rows, "o_orderkey", metric=lambda w: F.sum(w * F.col("hit")) / F.sum(w), n=50)
+    return M.bootstrap_ci(rows, "o_orderkey", metric=lambda w: F.sum(w * F.col("hit")) / F.sum(w), uses=["hit"])
 
 
 query("d23_summarise_runs", "SELECT o_orderpriority AS metric, avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM orders GROUP BY 1", doubles="mean std", digits=4)(
@@ -142,7 +159,7 @@ D29 = (f"SELECT s.*, t.actual_we, t.home_score AS actual_home_score, t.away_scor
 
 
 @query("d29_horizon_checkpoints", S.core([], D29, roles=["games", "paths", "actual", "outcomes"], extra={**WE, **PATHS}),
-       doubles="sim_p_home pred_we pred_we_std pred_run_diff_mean pred_run_diff_std std_at_25 std_at_50 std_at_100 std_at_200 std_at_500 actual_we correction_var")
+       doubles="sim_p_home pred_we pred_we_std pred_run_diff_mean pred_run_diff_std std_at_25 std_at_50 std_at_100 std_at_200 std_at_500 actual_we correction_var", digits=12)
 def d29(spark, sf):
     return X.horizon_checkpoints(roles.paths(spark, sf), roles.actual(spark, sf), levels(spark, sf), roles.outcomes(spark, sf))
 
@@ -238,12 +255,13 @@ def _islands(p):
 query("d39_drop_rare", S.core([], "SELECT game_pk, at_bat_number, pa_result FROM pitches WHERE pa_result IN (SELECT pa_result FROM pitches GROUP BY pa_result HAVING count(*) >= 200)"))(
     lambda spark, sf: M.drop_rare(roles.events(spark, sf).where("pa_result IS NOT NULL"), "pa_result", cv=40).select("game_pk", "at_bat_number", "pa_result"))
 FEAT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
-PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)" for i, a in enumerate(FEAT) for b in FEAT[i + 1:])
+PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM (SELECT *, CASE WHEN l_linenumber <> 2 THEN l_extendedprice * (1 - l_discount) END AS net FROM lineitem)" for i, a in enumerate(FEAT) for b in FEAT[i + 1:])
 BLK = {"l_quantity": "size", "l_extendedprice": "size", "l_discount": "terms", "l_tax": "terms", "net": "size"}
 
 
 def pairs(spark, sf):
-    return M.correlation_pairs(roles.load(spark, sf, "lineitem").selectExpr("*", "l_extendedprice * (1 - l_discount) AS net"), FEAT)
+    """One feature is unknown on some rows, which must not cost the other pairs those rows."""
+    return M.correlation_pairs(roles.load(spark, sf, "lineitem").selectExpr("*", "CASE WHEN l_linenumber <> 2 THEN l_extendedprice * (1 - l_discount) END AS net"), FEAT)
 
 
 query("d40_correlation_pairs", PAIRS, doubles="r")(pairs)

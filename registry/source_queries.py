@@ -137,7 +137,7 @@ query("a16_new_by_date", f"SELECT * FROM ({ORD}) WHERE d > (SELECT max(d) FROM (
     lambda spark, sf: T.new_by_date(_orders(spark, sf), _orders(spark, sf).where("d < DATE'2000-01-01'"), "d"))
 query("a17_chunk", f"SELECT * FROM ({ORD}) WHERE d BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'", doubles="o_totalprice")(
     lambda spark, sf: T.chunk(_orders(spark, sf), "1996-01-01", "1996-06-30", "d"))
-query("a18_restrict_keys", f"SELECT * FROM ({ORD}) WHERE o_custkey IN (3, 5, 8, 13)", doubles="o_totalprice")(lambda spark, sf: T.restrict_keys(_orders(spark, sf), [3, 5, 8, 13], "o_custkey"))
+query("a18_restrict_keys", f"SELECT * FROM ({ORD}) WHERE o_custkey IN (3, 5, 8, 13)", doubles="o_totalprice")(lambda spark, sf: T.restrict_keys(_orders(spark, sf), spark.createDataFrame([(k,) for k in (3, 5, 8, 13)], "o_custkey long"), "o_custkey"))
 query("a18_restrict_keys_join", f"SELECT * FROM ({ORD}) WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')", doubles="o_totalprice")(
     lambda spark, sf: T.restrict_keys(_orders(spark, sf), roles.load(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"))
 
@@ -146,7 +146,7 @@ query("a18_restrict_keys_join", f"SELECT * FROM ({ORD}) WHERE o_custkey IN (SELE
 def a19(spark, sf):
     table = T.VersionedTable(spark, fresh_path(spark, "brands"))
     df = roles.load(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    T.materialize(df.limit(1), table)
+    T.materialize(df.withColumn("n", F.lit(0).cast("long")), table)
     return T.materialize(df, table)
 
 
@@ -317,9 +317,13 @@ STEPS = {
 
 
 def poll_stream(spark, sf):
-    """The events table as a file stream, given the role of polls."""
-    schema = roles.load(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table landing as several files in order of time, one per micro-batch, in the role of polls."""
+    events, path = roles.load(spark, sf, "events"), fresh_path(spark, "landing")
+    cuts = events.agg(F.percentile_approx("ts", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]), 1000).alias("c")).first().c
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = events if lo is None else events.where(F.col("ts") > F.lit(lo))
+        (part if hi is None else part.where(F.col("ts") <= F.lit(hi))).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return roles._apply(raw, roles.poll_steps(roles.Spark))
 
 
@@ -353,10 +357,10 @@ def i8f(spark, sf):
     return feeds.latest_families(p, "game_pk", "ts", {"live": ["inning", "outs"], "sim": ["response_ms"]})
 
 
-@query("i10_append_results", roles.with_ctes(["polls"], "SELECT game_pk, count(*) AS n, max(event_id) AS last FROM polls WHERE event_type = 'purchase' GROUP BY game_pk"))
+@query("i10_append_results", roles.with_ctes(["polls"], "SELECT game_pk, count(*) AS n, max(event_id) AS last FROM polls GROUP BY game_pk"))
 def i10(spark, sf):
     path = fresh_path(spark, "series")
-    q = live.append_results(poll_stream(spark, sf).where("event_type = 'purchase'").select("game_pk", "event_id", "response_ms"), f"{path}/data", f"{path}/checkpoint").start()
+    q = live.append_results(poll_stream(spark, sf).select("game_pk", "event_id", "response_ms"), f"{path}/data", f"{path}/checkpoint").start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/data").groupBy(F.col("game_pk").cast("long").alias("game_pk")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
 
@@ -378,7 +382,7 @@ def i14(spark, sf):
     q = live.poll_metrics_stream(poll_stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(keep).option(
         "checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/b={0:08d}")
+    return live.newest_output(spark, path)
 
 
 # --- models ------------------------------------------------------------------
@@ -396,7 +400,7 @@ def _labelled(spark, sf):
 
 
 def _model(data):
-    return ml.train_outcome_model(data.where("split = 'train'"), SITUATION, trees=3, depth=3)
+    return ml.train_outcome_model(data.where("split = 'train'"), SITUATION)
 
 
 @query("j6_outcome_model")
@@ -410,10 +414,10 @@ def j6(spark, sf):
 def j7(spark, sf):
     from registry.core_queries import j13
 
-    rows = T.staged(j13(spark, sf), "exit-rows")
-    model = ml.train_exit_model(rows, ["pitcher_bf_game", "outing_runs", "inning", "run_diff", "avg_bf_per_app"], rounds=2, depth=2)
-    return ml.class_probabilities(rows, model, ["pitcher_bf_game", "outing_runs", "inning", "run_diff", "avg_bf_per_app"], ["game_pk", "at_bat_number"]).select(
-        "game_pk", "at_bat_number", F.element_at("proba", 2).alias("p_pulled"))
+    """Trained on 70 %, calibrated on 15 %, scored on the last 15 % of the appearances, stratified by the label."""
+    features = ["pitcher_bf_game", "outing_runs", "inning", "run_diff", "avg_bf_per_app"]
+    rows = T.staged(boards.split3(j13(spark, sf), "pulled", ["game_pk", "at_bat_number"], test=0.15, calib=0.15 / 0.85), "exit-rows")
+    return ml.exit_model(rows, features, ["game_pk", "at_bat_number"])
 
 
 @query("j8_fit_calibration")

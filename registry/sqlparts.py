@@ -220,34 +220,44 @@ CORE = {
                 "ON p.pitcher_id = a.pitcher_id AND p.game_date = a.game_date",
 }
 
-_OUT = "OVER (PARTITION BY game_pk, pitcher_id ORDER BY at_bat_number, pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_PA_ORDER = "OVER (PARTITION BY game_pk, pitcher_id ORDER BY at_bat_number)"
-STATE_BASE = f"""SELECT game_pk, at_bat_number, pitch_number, game_date, batter_id, pitcher_id, bat_side, pitch_hand, inning,
- CASE WHEN inning_topbot = 'Bot' THEN 1 ELSE 0 END AS is_bottom, outs_when_up AS outs,
- CASE WHEN on_1b IS NULL THEN 0 ELSE 1 END AS runner_1b, CASE WHEN on_2b IS NULL THEN 0 ELSE 1 END AS runner_2b,
- CASE WHEN on_3b IS NULL THEN 0 ELSE 1 END AS runner_3b, balls, strikes, bat_score_diff AS run_diff,
- CASE WHEN inning_topbot = 'Bot' THEN 1 ELSE 0 END AS is_home, n_thruorder_pitcher AS times_through_order,
- n_priorpa_thisgame_player_at_bat AS batter_prior_pa,
- row_number() OVER (PARTITION BY game_pk, pitcher_id ORDER BY at_bat_number, pitch_number) AS pitcher_pitch_count,
- dense_rank() {_PA_ORDER} AS pitcher_bf_game,
- dense_rank() OVER (PARTITION BY game_pk, batter_id, pitcher_id ORDER BY at_bat_number) - 1 AS batter_ab_vs_pitcher,
- count(*) FILTER (WHERE {R} IN {inlist(K.WALKS)}) {_OUT} AS pitcher_outing_walks,
- count(*) FILTER (WHERE {R} IN {inlist(K.HITS)}) {_OUT} AS pitcher_outing_hits,
- count(*) FILTER (WHERE {R} IN {inlist(K.STRIKEOUTS)}) {_OUT} AS pitcher_outing_k,
- CAST(sum(coalesce(post_bat_score - bat_score, 0)) {_OUT} AS BIGINT) AS pitcher_outing_runs,
- max({R}) OVER (PARTITION BY game_pk, at_bat_number) AS target FROM pitches"""
+_IN = {"walks": K.WALKS, "hits": K.HITS, "k": K.STRIKEOUTS}
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE {R} IN {inlist(v)}) AS {n}" for n, v in _IN.items())
+_SAME = "{0}.game_pk = {1}.game_pk AND {0}.pitcher_id IS NOT DISTINCT FROM {1}.pitcher_id"
+FLAGS = ", ".join(f"(on_{b} IS NOT NULL)::INT AS runner_{b}" for b in ("1b", "2b", "3b"))
+# Values before a pitch, each by its definition: what earlier plate appearances of the outing add up to, plus
+# what earlier pitches of the same one do.
 STATE = {
-    "kept": f"SELECT * FROM ({STATE_BASE}) WHERE target IS NOT NULL AND target NOT IN {inlist(K.EXCLUDED_OUTCOMES)}",
-    "recent": f"""SELECT game_pk, pitcher_id, at_bat_number, CAST(count(*) FILTER (WHERE target IN {inlist(K.WALKS + K.HITS)}) OVER w AS DOUBLE)
- / nullif(count(*) OVER w, 0) AS pitcher_recent_whip FROM (SELECT DISTINCT game_pk, pitcher_id, at_bat_number, target FROM kept)
- WINDOW w AS (PARTITION BY game_pk, pitcher_id ORDER BY at_bat_number ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
-    "state": "SELECT k.*, CAST(pitcher_outing_walks + pitcher_outing_hits AS DOUBLE) / nullif(pitcher_bf_game - 1, 0) AS pitcher_outing_whip, "
-             "pitcher_recent_whip FROM kept k LEFT JOIN recent USING (game_pk, pitcher_id, at_bat_number)",
+    "pas": f"SELECT game_pk, at_bat_number, pitcher_id, batter_id, count(*) AS pitches, {_COUNTS}, sum(coalesce(post_bat_score - bat_score, 0)) AS runs, max({R}) AS result "
+           "FROM pitches GROUP BY ALL",
+    "outcomes": "SELECT game_pk, at_bat_number, max(result) AS target FROM pas GROUP BY ALL",
+    "modelled": f"SELECT * FROM outcomes WHERE target IS NOT NULL AND target NOT IN {inlist(K.EXCLUDED_OUTCOMES)}",
+    "past": "SELECT a.game_pk, a.at_bat_number, a.pitcher_id, a.batter_id, count(DISTINCT b.at_bat_number) AS faced, "
+            "count(DISTINCT b.at_bat_number) FILTER (WHERE b.batter_id IS NOT DISTINCT FROM a.batter_id) AS met, "
+            + ", ".join(f"coalesce(sum(b.{c}), 0) AS {c}" for c in ("pitches", *_IN)) + ", sum(b.runs) AS runs "
+            f"FROM pas a LEFT JOIN pas b ON {_SAME.format('a', 'b')} AND b.at_bat_number < a.at_bat_number GROUP BY ALL",
+    "own": f"SELECT a.game_pk, a.at_bat_number, a.pitch_number, a.pitcher_id, count(b.pitch_number) AS pitches, "
+           + ", ".join(f"count(*) FILTER (WHERE b.{R} IN {inlist(v)}) AS {n}" for n, v in _IN.items())
+           + ", sum(CASE WHEN b.pitch_number IS NOT NULL THEN coalesce(b.post_bat_score - b.bat_score, 0) END) AS runs "
+           f"FROM pitches a LEFT JOIN pitches b ON {_SAME.format('a', 'b')} AND b.at_bat_number = a.at_bat_number AND b.pitch_number < a.pitch_number GROUP BY ALL",
+    "turns": "SELECT DISTINCT game_pk, pitcher_id, at_bat_number, target FROM pas JOIN modelled USING (game_pk, at_bat_number)",
+    "form": f"SELECT a.game_pk, a.pitcher_id, a.at_bat_number, list_avg(arg_max((b.target IN {inlist(K.WALKS + K.HITS)})::INT, b.at_bat_number, 3)) AS pitcher_recent_whip "
+            f"FROM turns a LEFT JOIN turns b ON {_SAME.format('a', 'b')} AND b.at_bat_number < a.at_bat_number GROUP BY ALL",
+    "state": "SELECT p.game_pk, p.at_bat_number, p.pitch_number, p.game_date, p.batter_id, p.pitcher_id, p.bat_side, p.pitch_hand, p.inning, "
+             f"(p.inning_topbot = 'Bot')::INT AS is_bottom, p.outs_when_up AS outs, {FLAGS}, p.balls, p.strikes, p.bat_score_diff AS run_diff, "
+             "(p.inning_topbot = 'Bot')::INT AS is_home, p.n_thruorder_pitcher AS times_through_order, p.n_priorpa_thisgame_player_at_bat AS batter_prior_pa, "
+             "(t.pitches + o.pitches + 1)::BIGINT AS pitcher_pitch_count, t.faced + 1 AS pitcher_bf_game, t.met AS batter_ab_vs_pitcher, "
+             + ", ".join(f"(t.{c} + o.{c})::BIGINT AS pitcher_outing_{c}" for c in _IN)
+             + ", coalesce(t.runs + o.runs, t.runs, o.runs)::BIGINT AS pitcher_outing_runs, "
+             "(t.walks + o.walks + t.hits + o.hits)::DOUBLE / nullif(t.faced, 0) AS pitcher_outing_whip, f.pitcher_recent_whip, m.target "
+             "FROM pitches p JOIN modelled m USING (game_pk, at_bat_number) "
+             f"JOIN past t ON {_SAME.format('t', 'p')} AND t.at_bat_number = p.at_bat_number AND t.batter_id IS NOT DISTINCT FROM p.batter_id "
+             f"JOIN own o ON {_SAME.format('o', 'p')} AND o.at_bat_number = p.at_bat_number AND o.pitch_number = p.pitch_number "
+             f"JOIN form f ON {_SAME.format('f', 'p')} AND f.at_bat_number = p.at_bat_number",
 }
 DEPENDS = {"bs": ["bc"], "batters": ["bc", "bs"], "ps": ["pc"], "pitchers": ["pc", "ps"], "asum": ["ac"], "arsenal": ["ac", "asum"],
            "dsum": ["dc"], "discipline": ["dc", "dsum"], "psum": ["pac"], "parsenal": ["pac", "psum"],
            "bprofile": ["bc", "bs", "batters", "ac", "asum", "arsenal", "dc", "dsum", "discipline"],
-           "pprofile": ["pc", "ps", "pitchers", "pac", "psum", "parsenal"], "state": ["kept", "recent"], "recent": ["kept"]}
+           "pprofile": ["pc", "ps", "pitchers", "pac", "psum", "parsenal"], "state": ["pas", "outcomes", "modelled", "past", "own", "turns", "form"]}
 
 
 def core(names: list[str], body: str, roles: list[str] = (), extra: dict[str, str] | None = None) -> str:
@@ -259,7 +269,3 @@ def core(names: list[str], body: str, roles: list[str] = (), extra: dict[str, st
                 order.append(d)
     return with_ctes(["pitches", *roles], body, {**{n: table[n] for n in order}, **(extra or {})})
 
-
-def doubles_of(names: list[str], key_cols: list[str]) -> list[str]:
-    """Columns of a profile that hold DOUBLE values."""
-    return [n for n in names if n not in key_cols]

@@ -66,3 +66,12 @@ RUN_DIFF_LIMIT = 15
 LAST_INNING = 9
 MIN_SAMPLE = 20
 FIP_CONSTANT = 3.20
+
+# The columns of the game state table and their order.
+STATE_COLUMNS = [
+    "game_pk", "at_bat_number", "pitch_number", "game_date", "batter_id", "pitcher_id", "bat_side", "pitch_hand",
+    "inning", "is_bottom", "outs", "runner_1b", "runner_2b", "runner_3b", "balls", "strikes", "run_diff", "is_home",
+    "times_through_order", "batter_prior_pa", "pitcher_pitch_count", "pitcher_bf_game", "batter_ab_vs_pitcher",
+    "pitcher_outing_walks", "pitcher_outing_hits", "pitcher_outing_k", "pitcher_outing_runs",
+    "pitcher_outing_whip", "pitcher_recent_whip", "target",
+]

@@ -96,10 +96,10 @@ def split3(df: DataFrame, label: str, row: list[str], test: float = 0.2, calib:
 
 
 def encode(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
-    """Index of each class in sorted order; only the distinct classes are ranked."""
-    classes = df.select(label).distinct().select(
+    """Index of each class in sorted order; only the distinct classes are ranked. A NULL label has a NULL index."""
+    classes = df.where(F.col(label).isNotNull()).select(label).distinct().select(
         label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias(out))
-    return df.join(classes, label)
+    return df.join(classes, label, "left")
 
 
 # --- lineups -----------------------------------------------------------------

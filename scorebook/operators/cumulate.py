@@ -32,19 +32,38 @@ def carry_forward(target: DataFrame, new: DataFrame, keys: list[str], day="game_
     return dedup_latest(target.where(F.col(day) < first), keys, [F.col(day).desc()])
 
 
+def newest_state(counts: DataFrame, entity: str, cols: list[str], season="season") -> DataFrame:
+    """One row per entity after all its ``counts``: last season, its sums, and the career sums.
+
+    This is the small table an increment starts from; ``advance`` moves it on by a chunk.
+    """
+    per = counts.groupBy(entity, season).agg(*[F.sum(c).alias(c) for c in cols])
+    last = F.max_by(F.struct(*[F.col(c).alias(f"s_{c}") for c in cols]), season)
+    return per.groupBy(entity).agg(F.max(season).alias(season), last.alias("__s"), *[F.sum(c).alias(f"c_{c}") for c in cols]).select(
+        entity, season, "__s.*", *[f"c_{c}" for c in cols])
+
+
+def advance(newest: DataFrame, rows: DataFrame, entity: str, day="game_date") -> DataFrame:
+    """The newest state after a chunk's cumulative ``rows``: entities without a row keep theirs."""
+    last = dedup_latest(rows, [entity], [F.col(day).desc()]).select(*newest.columns)
+    return newest.join(last.select(entity), entity, "left_anti").unionByName(last)
+
+
 def cumulate(new: DataFrame, entity: str, cols: list[str], target: DataFrame | None = None,
-             day="game_date", season="season") -> DataFrame:
-    """Cumulative rows for the days in ``new``, starting from ``target`` where it is given.
+             day="game_date", season="season", newest: DataFrame | None = None) -> DataFrame:
+    """Cumulative rows for the days in ``new``, starting from ``newest`` (see ``newest_state``) or, where only
+    the finished table is at hand, from the latest rows of ``target``.
 
-    Any split into successive chunks gives the same rows as one full run, NULL sums included.
+    An entity's newest row is all that counts: its career sums always carry over, its season sums where the
+    season is the same. Any split into successive chunks gives the same rows as one full run, NULL sums included.
     """
     sums = running_sums(new, entity, cols, day, season)
-    if target is None:
+    if target is None and newest is None:
         return sums
-    prev_season = carry_forward(target, new, [entity, season], day).selectExpr(
-        entity, season, *[f"s_{c} AS __ps_{c}" for c in cols])
-    prev_career = carry_forward(target, new, [entity], day).selectExpr(entity, *[f"c_{c} AS __pc_{c}" for c in cols])
-    joined = sums.join(prev_season, [entity, season], "left").join(prev_career, [entity], "left")
+    if newest is None:
+        newest = carry_forward(target, new, [entity], day)
+    prev = newest.selectExpr(entity, f"{season} AS __season", *[f"s_{c} AS __s_{c}" for c in cols], *[f"c_{c} AS __pc_{c}" for c in cols])
+    joined = sums.join(prev, [entity], "left").selectExpr("*", *[f"CASE WHEN __season = {season} THEN __s_{c} END AS __ps_{c}" for c in cols])
 
     def added(prev: str, cur: str) -> str:
         """Sum that is NULL only where both sides are."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scorebook import constants as K
 from scorebook.functions.predicates import base_mask, clamp
 from scorebook.operators.windows import PA, first_pitch
-from scorebook.plans.ordered import scan
 
 STATE = ["inning", "half", "outs", "bases", "run_diff"]
 LEVELS = {"full": STATE, "no_bases": ["inning", "half", "outs", "run_diff"],
@@ -17,7 +16,7 @@ LEVELS = {"full": STATE, "no_bases": ["inning", "half", "outs", "run_diff"],
 
 # --- transitions -------------------------------------------------------------
 
-def next_states(events: DataFrame, block: int = 64) -> DataFrame:
+def next_states(events: DataFrame) -> DataFrame:
     """One row per finished plate appearance with the state it led to.
 
     The state before is that of its first pitch; the state after is the first pitch of the next
@@ -29,9 +28,9 @@ def next_states(events: DataFrame, block: int = 64) -> DataFrame:
     last = events.where(F.col("pa_result").isNotNull() & (F.col("pa_result") != K.TRUNCATED)) \
         .select(*PA, "pa_result", "post_bat_score")
     pas = first.join(last, PA).withColumn("pre_bases", base_mask("on_1b", "on_2b", "on_3b"))
-    pas = scan(pas, ["game_pk"], ["at_bat_number"], F.floor(F.col("at_bat_number") / block),
-               following={"__inning": F.col("inning"), "__half": F.col("inning_topbot"),
-                          "__outs": F.col("outs_when_up"), "__bases": F.col("pre_bases")})
+    order = Window.partitionBy("game_pk").orderBy("at_bat_number")
+    pas = pas.withColumns({n: F.lead(c).over(order) for n, c in (
+        ("__inning", "inning"), ("__half", "inning_topbot"), ("__outs", "outs_when_up"), ("__bases", "pre_bases"))})
     same = (F.col("__inning") == F.col("inning")) & (F.col("__half") == F.col("inning_topbot"))
     return pas.where(F.col("__inning").isNotNull()).select(
         *PA, "pa_result", "pre_bases", F.col("outs_when_up").alias("outs"),
@@ -216,6 +215,21 @@ def interpolate(value: Column, knots: Column) -> Column:
     return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(inner)
 
 
+def calibrate_vector(df: DataFrame, knots: DataFrame, proba: str = "proba", out: str = "calibrated") -> DataFrame:
+    """Calibrate an array of class probabilities in place and rescale it to sum one: no explode, no shuffle.
+
+    ``knots`` (class, x, y) are the model's own curves; they travel as one broadcast row, and classes without a
+    curve give 0. Probabilities without a row of curves stay as they are.
+    """
+    curves = knots.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
+    one = curves.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("int"), "k"))).alias("__curves"))
+    joined = df.join(F.broadcast(one), F.lit(True), "left")
+    raw = F.transform(proba, lambda p, i: F.coalesce(interpolate(p, F.try_element_at("__curves", i)), F.lit(0.0)))
+    total = F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
+    return joined.withColumn("__raw", raw).withColumn("__total", total).withColumn(out, F.transform(
+        "__raw", lambda x: x / F.when(F.col("__total") > 0, F.col("__total")).otherwise(F.lit(1.0)))).drop("__raw", "__total", "__curves")
+
+
 def apply_calibration(df: DataFrame, knots: DataFrame, row_id: str, cls: str = "class",
                       p: str = "p") -> DataFrame:
     """Calibrate one probability per (row, class) and rescale each row to sum one.

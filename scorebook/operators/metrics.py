@@ -8,8 +8,10 @@ combined on the map side: shuffles carry (classes x bins) rows per partition.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,9 +150,18 @@ def brier_skill(df: DataFrame, proba="proba", label="label") -> DataFrame:
 
 # --- bootstrap ---------------------------------------------------------------
 
-def poisson_weight(*key: Column) -> Column:
-    """Poisson(1) draw as a pure function of the key columns (inverse of the distribution)."""
-    u = F.pmod(F.xxhash64(*key), F.lit(1 << 30)).cast("double") / float(1 << 30)
+PRIME = 2147483647
+
+
+def poisson_weight(row: Column, replicate: Column, seed: int) -> Column:
+    """Poisson(1) draw as a pure function of row and replicate (inverse of the distribution).
+
+    The uniform number is plain 64-bit arithmetic modulo 2^31 - 1, which any engine can repeat.
+    """
+    x = (F.pmod(row, F.lit(PRIME)) * 48271 + replicate * 69621 + seed) % PRIME
+    for add in (12345, 54321):
+        x = (x * x + F.pmod(row, F.lit(PRIME)) + add * (replicate + 1)) % PRIME
+    u = x.cast("double") / float(PRIME)
     cdf, total = [], 0.0
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
@@ -167,16 +178,17 @@ def mean_brier(weight: Column) -> Column:
 
 
 def bootstrap_ci(df: DataFrame, row_id: str, metric: Callable[[Column], Column] = mean_brier, n: int = 1000,
-                 seed: int = 42, proba="proba", label="label") -> DataFrame:
+                 seed: int = 42, proba="proba", label="label", uses: list[str] = ()) -> DataFrame:
     """Mean, 2.5/97.5 percentiles and sd of a metric over resampled data.
 
     Drawing n of n rows is replaced by independent Poisson(1) weights per row and replicate, so
     replicates are weighted aggregates combined on the map side and no row is moved. ``metric``
-    maps the weight column to an aggregate; ``__score`` holds the row's Brier score.
+    maps the weight column to an aggregate; ``__score`` holds the row's Brier score. Only the row's whole
+    number ``row_id``, that score and the columns the metric ``uses`` are repeated per replicate.
     """
-    rows = df.withColumn("__score", row_brier(proba, label))
-    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
-    draws = draws.withColumn("__w", poisson_weight(F.col(row_id), F.col("replicate"), F.lit(seed)))
+    rows = df.select(F.col(row_id).cast("long").alias("__id"), row_brier(proba, label).alias("__score"), *uses)
+    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).withColumn("replicate", F.col("replicate").cast("long"))
+    draws = draws.withColumn("__w", poisson_weight(F.col("__id"), F.col("replicate"), seed))
     per = draws.groupBy("replicate").agg(metric(F.col("__w")).alias("value"))
     return per.agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.025)").alias("ci_lower"),
                    F.expr("percentile(value, 0.975)").alias("ci_upper"), F.stddev_pop("value").alias("std"))
@@ -225,19 +237,38 @@ def drop_rare(df: DataFrame, label: str, cv: int = 5, test: float = 0.2, calib:
 
 
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Correlation of every feature pair i < j; constant features give 0.
+    """Correlation of every feature pair i < j over the rows where both are known; constant features give 0.
 
-    The matrix is computed by distributed covariance; what reaches the driver is
-    len(features)^2 numbers, fixed by the schema.
+    A task adds up its rows' products as small matrices (features are fixed by the schema), around the
+    features' means, so that large means do not cancel; Spark adds the tasks' sums per pair.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=features, outputCol="__v", handleInvalid="skip").transform(df.select(*features))
-    m = Correlation.corr(vec, "__v").first()[0].toArray()
-    rows = [(features[i], features[j], 0.0 if math.isnan(m[i, j]) else float(m[i, j]))
-            for i in range(len(features)) for j in range(i + 1, len(features))]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+    k = len(features)
+    upper = np.triu_indices(k, 1)
+    mean = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    shift = np.array([m or 0.0 for m in mean])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - shift
+            known = ~np.isnan(x)
+            x, w = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([w.T @ w, x.T @ w, w.T @ x, (x * x).T @ w, w.T @ (x * x), x.T @ x])
+        if total[0].any():
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *[pa.array(t[upper]) for t in total]], ["i", "j", *SUMS])
+
+    doubles = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    per = doubles.mapInArrow(products, "i long, j long, " + ", ".join(f"{s} double" for s in SUMS)).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+    var = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
+    r = F.when(var > 1e-18 * F.col("n") ** 2 * F.col("xx") * F.col("yy"), (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(var)).otherwise(0.0)
+    name = F.array(*[F.lit(f) for f in features])
+    pairs = df.sparkSession.createDataFrame([(int(i), int(j)) for i, j in zip(*upper)], "i long, j long")
+    return pairs.join(per, ["i", "j"], "left").select(
+        F.element_at(name, (F.col("i") + 1).cast("int")).alias("feature_a"), F.element_at(name, (F.col("j") + 1).cast("int")).alias("feature_b"),
+        F.coalesce(r, F.lit(0.0)).alias("r"))
+
+
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
 def correlation_report(pairs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.operators.lookups import apply_calibration
+from scorebook.operators.lookups import calibrate_vector
 
 
 def check_taxonomy(df: DataFrame, classes: list[str], col: str) -> DataFrame:
@@ -49,6 +49,17 @@ def train_exit_model(df: DataFrame, features: list[str], label: str = "pulled",
                          seed=seed).fit(data)
 
 
+def exit_model(rows: DataFrame, features: list[str], keep: list[str], label: str = "pulled", split: str = "split") -> DataFrame:
+    """``keep``, label, p and p_calibrated of the test part: trees learned on the train part, isotonic curve on the middle one."""
+    model = train_exit_model(rows.where(F.col(split) == "train"), features, label)
+
+    def scored(part: str) -> DataFrame:
+        return class_probabilities(rows.where(F.col(split) == part), model, features, [*keep, label]).withColumn("p", F.element_at("proba", 2))
+
+    curve = IsotonicRegression(featuresCol="p", labelCol=label).fit(scored("calibrate").withColumn(label, F.col(label).cast("double")))
+    return curve.transform(scored("test")).select(*keep, label, "p", F.col("prediction").alias("p_calibrated"))
+
+
 def class_probabilities(df: DataFrame, model, features: list[str], keep: list[str]) -> DataFrame:
     scored = model.transform(assemble(df, features))
     return scored.select(*keep, vector_to_array("probability").alias("proba"))
@@ -68,11 +79,14 @@ def fit_calibration(scored: DataFrame, n_classes: int, label: str = "label_index
 
 
 def score(df: DataFrame, model, features: list[str], row_id: str, knots: DataFrame | None = None) -> DataFrame:
-    """(row, class, p, p_calibrated) of every class; calibrated values sum to one per row."""
-    rows = class_probabilities(df, model, features, [row_id]).select(row_id, F.posexplode("proba").alias("class", "p"))
-    if knots is None:
-        return rows.withColumn("p_calibrated", F.col("p"))
-    return apply_calibration(rows, knots, row_id)
+    """(row, class, p, p_calibrated) of every class; calibrated values sum to one per row.
+
+    Calibration works on the row's array; classes become rows only in the result.
+    """
+    rows = class_probabilities(df, model, features, [row_id])
+    rows = rows.withColumn("calibrated", F.col("proba")) if knots is None else calibrate_vector(rows, knots)
+    return rows.select(row_id, F.posexplode(F.arrays_zip("proba", "calibrated")).alias("class", "v")).select(
+        row_id, "class", F.col("v.proba").alias("p"), F.col("v.calibrated").alias("p_calibrated"))
 
 
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -111,16 +125,17 @@ def binary_report(df: DataFrame, p: str, y: str, min_auc: float = 0.6, max_brier
 # --- feature ranking ---------------------------------------------------------
 
 def relevance(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """One-way F statistic of each feature against the classes, from sums per class."""
-    long = df.select(label, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")) \
-        .select(label, "v.feature", "v.x").where(F.col("x").isNotNull())
-    per = long.groupBy("feature", label).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    tot = per.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-                                     F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("q") - F.col("b")
+    """One-way F statistic of each feature against the classes, from means and variances per class."""
+    x = {f: F.col(f).cast("double") for f in features}
+    wide = df.groupBy(label).agg(*[v.alias(f"{c}_{i}") for i, f in enumerate(features) for c, v in (
+        ("n", F.count(x[f])), ("m", F.avg(x[f])), ("v", F.var_pop(x[f])))])
+    # One row per class; only these few rows are turned into one per feature.
+    per = wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{c}_{i}").alias(c) for c in "nmv"])
+                                          for i, f in enumerate(features)])).alias("r")).select("r.*").where("n > 0")
+    mean = per.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    tot = per.join(mean, "feature").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"))
+    between, within = F.col("b"), F.col("w")
     f = (between / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(within / F.nullif(F.col("n") - F.col("k"), F.lit(0)), F.lit(0.0))
     return tot.select("feature", F.coalesce(f, F.lit(0.0)).alias("f_stat"))
 

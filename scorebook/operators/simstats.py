@@ -115,16 +115,28 @@ def horizon_checkpoints(paths: DataFrame, actual: DataFrame, levels: DataFrame,
         "outs": F.when(pa, F.col("outs")).otherwise(0), "bases": F.when(pa, F.col("bases")).otherwise(0),
     }).drop("__half")
 
-    rows = scan(reached.select(*keys, "sim_id", "__rd"), keys, ["sim_id"], F.floor(F.col("sim_id") / 1024),
-                number="__n")
-    rows = rows.join(center, keys).withColumn("run_diff", F.col("__rd"))
-    rows = we_lookup(rows, levels)
+    # Within a (game, horizon) the expectancy depends on the run difference alone: simulations are counted per
+    # difference, in all and among the first k, before anything is looked up.
+    order = Window.partitionBy(*keys).orderBy("sim_id")
+    first = reached.select(*keys, "__rd", F.row_number().over(order).alias("__n"))
+    rows = first.groupBy(*keys, "__rd").agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(F.col("__n") <= k).alias(f"__at_{k}") for k in CHECKS])
+    rows = we_lookup(rows.join(center, keys).withColumn("run_diff", F.col("__rd")), levels)
+    group = Window.partitionBy(*keys)
+
+    def mean(x: str, n: str) -> Column:
+        return F.sum(F.col(n) * F.col(x)).over(group) / F.nullif(F.sum(n).over(group), F.lit(0))
+
+    sizes = ["__all", *[f"__at_{k}" for k in CHECKS]]
+    rows = rows.withColumns({f"__m{n}": mean("we", n) for n in sizes} | {"__m_rd": mean("__rd", "__all")})
+
+    def spread_of(x: str, m: str, n: str) -> Column:
+        return F.sqrt(F.sum(F.col(n) * (F.col(x) - F.col(m)) ** 2) / F.nullif(F.sum(n), F.lit(0)))
+
     spread = rows.groupBy(*keys).agg(
         F.max("n_reached").alias("n_reached"), F.max("sim_p_home").alias("sim_p_home"),
-        F.avg("we").alias("pred_we"), F.stddev_pop("we").alias("pred_we_std"),
-        F.avg("__rd").alias("pred_run_diff_mean"), F.stddev_pop("__rd").alias("pred_run_diff_std"),
-        *[F.when(F.max("n_reached") >= k, F.stddev_pop(F.when(F.col("__n") <= k, F.col("we")))).alias(f"std_at_{k}")
-          for k in CHECKS])
+        F.max("__m__all").alias("pred_we"), spread_of("we", "__m__all", "__all").alias("pred_we_std"),
+        F.max("__m_rd").alias("pred_run_diff_mean"), spread_of("__rd", "__m_rd", "__all").alias("pred_run_diff_std"),
+        *[F.when(F.max("n_reached") >= k, spread_of("we", f"__m__at_{k}", f"__at_{k}")).alias(f"std_at_{k}") for k in CHECKS])
     truth = we_lookup(actual.withColumn("run_diff", (F.col("home_score") - F.col("away_score")).cast("int")),
                       levels, out="actual_we")
     return spread.join(truth.select(*keys, "actual_we", F.col("home_score").alias("actual_home_score"),
@@ -198,10 +210,11 @@ def horizon_errors(horizons: DataFrame, games: DataFrame) -> DataFrame:
     return h.join(g, ["eval_id", "game_pk"])
 
 
-def eligible_horizons(errors: DataFrame, min_games: int = 30, max_horizons: int = 15) -> DataFrame:
+def eligible_horizons(errors: DataFrame, min_games: int = 30, max_horizons: int | None = None) -> DataFrame:
     """Horizons per state that enough games reached and whose Brier score beats the entry's.
 
-    The entry score is taken once, on the first horizon with enough games.
+    The entry score is taken once, on the first horizon with enough games. ``max_horizons`` keeps only the
+    first horizons of a state; by default all count.
     """
     per = errors.groupBy("state_key", "hz").agg(
         F.count(F.lit(1)).alias("n"),
@@ -209,8 +222,10 @@ def eligible_horizons(errors: DataFrame, min_games: int = 30, max_horizons: int
         F.avg((F.col("entry") - F.col("outcome")) ** 2).alias("entry_brier"))
     size = errors.groupBy("state_key").agg(F.count_distinct("game_pk").alias("n_games")).where(
         F.col("n_games") >= min_games)
-    rank = F.row_number().over(Window.partitionBy("state_key").orderBy("hz"))
-    per = per.withColumn("__r", rank).where(F.col("__r") <= max_horizons).join(size, "state_key")
+    if max_horizons is not None:
+        rank = F.row_number().over(Window.partitionBy("state_key").orderBy("hz"))
+        per = per.withColumn("__r", rank).where(F.col("__r") <= max_horizons)
+    per = per.join(size, "state_key")
     per = per.where(F.col("n") >= min_games)
     first = F.first("entry_brier").over(Window.partitionBy("state_key").orderBy("hz").rowsBetween(
         Window.unboundedPreceding, 0))
@@ -235,46 +250,41 @@ def _min_variance(m: int, n: int, cross: np.ndarray, fourth: float) -> np.ndarra
 
 
 def horizon_weights(horizons: DataFrame, games: DataFrame, min_games: int = 30,
-                    max_horizons: int = 15) -> DataFrame:
+                    max_horizons: int | None = None) -> DataFrame:
     """Weight of each horizon per state, from the covariance of the prediction errors.
 
     All passes over the games are Spark aggregates: means, then the second moments of the
-    centred errors and the fourth moment the shrinkage needs. Python sees one row of at most
-    ``max_horizons`` squared sums per state and inverts that matrix.
+    centred errors and the fourth moment the shrinkage needs. Python sees one row of horizons
+    squared sums per state and inverts that matrix.
     """
     errors = horizon_errors(horizons, games)
     valid = eligible_horizons(errors, min_games, max_horizons)
     rows = errors.join(valid, ["state_key", "hz"]).withColumn("err", F.col("pred_we") - F.col("outcome"))
     need = valid.groupBy("state_key").agg(F.count(F.lit(1)).alias("__need"))
-    # At most ``max_horizons`` values per game.
+    # One value per horizon of a game.
     per_game = rows.groupBy("state_key", "eval_id", "game_pk").agg(
         F.array_sort(F.collect_list(F.struct("hz", "err"))).alias("__e"), F.count(F.lit(1)).alias("__have"))
     complete = per_game.join(need, "state_key").where("__have = __need").select(
         "state_key", "eval_id", "game_pk", F.col("__e.hz").alias("hz"), F.col("__e.err").alias("e"))
 
-    idx = range(max_horizons)
-
-    def at(c: str, i: int) -> Column:
-        return F.try_element_at(F.col(c), F.lit(i + 1))
-
-    means = complete.groupBy("state_key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hz").alias("hz_all"),
-        F.array(*[F.avg(at("e", i)) for i in idx]).alias("mean")).where(F.col("n") >= min_games)
-    centred = complete.select("state_key", "e").join(means, "state_key").select(
-        "state_key", "n", "hz_all", F.zip_with("e", F.slice("mean", F.lit(1), F.size("e")), lambda a, b: a - b).alias("x"))
+    each = complete.select("state_key", "hz", "e", F.posexplode("e").alias("i", "x"))
+    means = each.groupBy("state_key", "i").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m")).where(F.col("n") >= min_games)
+    means = means.groupBy("state_key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("mean"))
+    centred = complete.join(means, "state_key").select(
+        "state_key", "n", "hz", F.zip_with("e", "mean", lambda a, b: a - b).alias("x"))
     square = F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
-    moments = centred.groupBy("state_key").agg(
-        F.max("n").alias("n"), F.max("hz_all").alias("hz_all"), F.sum(square * square).alias("fourth"),
-        F.array(*[F.sum(at("x", i) * at("x", j)) for i in idx for j in idx]).alias("cross"))
+    sums = centred.groupBy("state_key").agg(F.max("n").alias("n"), F.max("hz").alias("hz_all"), F.sum(square * square).alias("fourth"))
+    pairs = centred.select("state_key", "x", F.posexplode("x").alias("i", "a")).select("state_key", "i", "a", F.posexplode("x").alias("j", "b"))
+    cross = (pairs.groupBy("state_key", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+             .groupBy("state_key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "v")))["v"].alias("cross")))
+    moments = sums.join(cross, "state_key")
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
                 m = len(r.hz_all)
-                full = np.array([np.nan if v is None else v for v in r.cross], dtype=float)
-                cross = full.reshape(max_horizons, max_horizons)[:m, :m]
-                w = _min_variance(m, r.n, cross, r.fourth)
+                w = _min_variance(m, r.n, np.array(r.cross, dtype=float).reshape(m, m), r.fourth)
                 if w is not None:
                     out += [(r.state_key, int(h), round(float(v), 4)) for h, v in zip(r.hz_all, w) if v > 0.001]
             yield pd.DataFrame(out, columns=["state_key", "hz", "weight"])

@@ -105,7 +105,9 @@ def game_state(events: DataFrame, excluded: list[str] = K.EXCLUDED_OUTCOMES) ->
         F.col("n_thruorder_pitcher").alias("times_through_order"),
         F.col("n_priorpa_thisgame_player_at_bat").alias("batter_prior_pa"),
         *[e.alias(f"__own_{c}") for c, e in own.items()])
-    joined = pitches.join(context, [*PA, "pitcher_id", "batter_id"])
+    # Null-safe on both players: a pitch without one keeps its row.
+    same = [pitches[c].eqNullSafe(context[c]) if c in ("pitcher_id", "batter_id") else pitches[c] == context[c] for c in [*PA, "pitcher_id", "batter_id"]]
+    joined = pitches.join(context, same).drop(*[context[c] for c in [*PA, "pitcher_id", "batter_id"]])
 
     def counter(c: str) -> Column:
         past, here = F.col(f"__{c}"), F.col(f"__own_{c}")
@@ -116,16 +118,7 @@ def game_state(events: DataFrame, excluded: list[str] = K.EXCLUDED_OUTCOMES) ->
     out = joined.withColumns({name: counter(c) for c, name in COUNTERS.items()})
     ratio = ((F.col("pitcher_outing_walks") + F.col("pitcher_outing_hits")).cast("double")
              / F.nullif(F.col("pitcher_bf_game") - 1, F.lit(0)))
-    return out.withColumn("pitcher_outing_whip", ratio).select(*STATE_COLUMNS)
-
-
-STATE_COLUMNS = [
-    "game_pk", "at_bat_number", "pitch_number", "game_date", "batter_id", "pitcher_id", "bat_side", "pitch_hand",
-    "inning", "is_bottom", "outs", "runner_1b", "runner_2b", "runner_3b", "balls", "strikes", "run_diff", "is_home",
-    "times_through_order", "batter_prior_pa", "pitcher_pitch_count", "pitcher_bf_game", "batter_ab_vs_pitcher",
-    "pitcher_outing_walks", "pitcher_outing_hits", "pitcher_outing_k", "pitcher_outing_runs",
-    "pitcher_outing_whip", "pitcher_recent_whip", "target",
-]
+    return out.withColumn("pitcher_outing_whip", ratio).select(*K.STATE_COLUMNS)
 
 
 def recent_whip(pas: DataFrame, n: int = 3) -> DataFrame:
@@ -141,34 +134,37 @@ def recent_whip(pas: DataFrame, n: int = 3) -> DataFrame:
 
 # --- timed events ------------------------------------------------------------
 
-def event_windows(gumbo: DataFrame, block: int = 64) -> DataFrame:
+# A game has a few hundred rows at most, so windows over a game or a side of it are plain ones.
+
+def event_windows(gumbo: DataFrame) -> DataFrame:
     """End time of the previous event of the game, the start of each event's validity."""
-    return scan(gumbo, ["game_pk"], ["at_bat_number", "play_event_index"],
-                F.floor(F.col("at_bat_number") / block), prev={"prev_event_end_ts": F.col("event_end_ts")})
+    order = Window.partitionBy("game_pk").orderBy("at_bat_number", F.col("play_event_index").asc_nulls_last())
+    return gumbo.withColumn("prev_event_end_ts", F.lag("event_end_ts").over(order))
 
 
 # --- labels ------------------------------------------------------------------
 
-def pull_labels(pas: DataFrame, block: int = 64) -> DataFrame:
+def _side() -> Window:
+    return Window.partitionBy("game_pk", "is_bottom").orderBy("at_bat_number")
+
+
+def pull_labels(pas: DataFrame) -> DataFrame:
     """Starter flag and pitcher-change label of each plate appearance of a side."""
-    out = scan(pas, ["game_pk", "is_bottom"], ["at_bat_number"], F.floor(F.col("at_bat_number") / block),
-               following={"__next_pitcher": F.col("pitcher_id")}, opening={"__first_pitcher": F.col("pitcher_id")})
-    return out.withColumns({
-        "starter_flag": flag(F.col("pitcher_id") == F.col("__first_pitcher")),
-        "pulled": flag(F.col("__next_pitcher") != F.col("pitcher_id")),
-    }).drop("__next_pitcher", "__first_pitcher")
+    first = F.first("pitcher_id").over(_side().rowsBetween(Window.unboundedPreceding, 0))
+    return pas.withColumns({
+        "starter_flag": flag(F.col("pitcher_id") == first),
+        "pulled": flag(F.lead("pitcher_id").over(_side()) != F.col("pitcher_id")),
+    })
 
 
-def re_features(pas: DataFrame, block: int = 64) -> DataFrame:
+def re_features(pas: DataFrame) -> DataFrame:
     """Run expectancy of each appearance and its change since the side's previous one."""
     from scorebook.operators.lookups import run_expectancy
 
     df = run_expectancy(pas.withColumn(
         "bases", F.col("runner_1b") + 2 * F.col("runner_2b") + 4 * F.col("runner_3b"))).drop("bases")
-    df = scan(df, ["game_pk", "is_bottom"], ["at_bat_number"], F.floor(F.col("at_bat_number") / block),
-              prev={"__before": F.col("current_re")})
     start = F.lit(K.RUN_EXPECTANCY[0][0])
-    return df.withColumn("re_diff", F.col("current_re") - F.coalesce("__before", start)).drop("__before")
+    return df.withColumn("re_diff", F.col("current_re") - F.coalesce(F.lag("current_re").over(_side()), start))
 
 
 # --- change runs -------------------------------------------------------------
@@ -191,24 +187,21 @@ def polls_per_change(polls: DataFrame, key: str, order: list[str], bucket: Colum
     return closed.groupBy(key, "event_type").agg(F.expr("percentile(idle, 0.5)").alias("median_idle"))
 
 
-def actual_horizons(events: DataFrame, entries: DataFrame, block: int = 64) -> DataFrame:
+def actual_horizons(events: DataFrame, entries: DataFrame) -> DataFrame:
     """States reached after an entry point: ``+1pa``, then each half-inning boundary ``+<n>hi``.
 
     ``events`` has one or more rows per plate appearance with ``inning, half, outs, bases,
     home_score, away_score``; ``entries`` has ``game_pk, entry_ab``.
     """
-    later = events.join(entries, "game_pk").where(F.col("at_bat_number") > F.col("entry_ab"))
-    pas = first_per(later, ["game_pk", "entry_ab", "at_bat_number"], [F.col("pitch_number").asc()])
-    keys, order = ["game_pk", "entry_ab"], ["at_bat_number"]
-    bucket = F.floor(F.col("at_bat_number") / block)
-    pas = scan(pas, keys, order, bucket, number="__n",
-               prev={"__inning": F.col("inning"), "__half": F.col("half")})
+    pas = first_pitch(events).join(entries, "game_pk").where(F.col("at_bat_number") > F.col("entry_ab"))
+    order = Window.partitionBy("game_pk", "entry_ab").orderBy("at_bat_number")
+    pas = pas.withColumns({"__n": F.row_number().over(order), "__inning": F.lag("inning").over(order), "__half": F.lag("half").over(order)})
     turned = F.when(F.col("__inning").isNull(), 0).otherwise(
         F.when((F.col("__inning") != F.col("inning")) | (F.col("__half") != F.col("half")), 1).otherwise(0))
-    pas = scan(pas.withColumn("__turn", turned), keys, order, bucket, totals={"__turns": F.col("__turn")})
-    no = F.coalesce("__turns", F.lit(0)) + 1
+    pas = pas.withColumn("__turn", turned)
+    pas = pas.withColumn("__no", F.coalesce(F.sum("__turn").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     label = F.array_compact(F.array(
         F.when(F.col("__n") == 1, F.lit("+1pa")),
-        F.when(F.col("__turn") == 1, F.concat(F.lit("+"), no.cast("string"), F.lit("hi")))))
+        F.when(F.col("__turn") == 1, F.concat(F.lit("+"), F.col("__no").cast("string"), F.lit("hi")))))
     return pas.select("game_pk", "entry_ab", F.explode(label).alias("horizon"), "at_bat_number",
                       "inning", "half", "outs", "bases", "home_score", "away_score")

@@ -64,7 +64,7 @@ def feature_vectors(state: DataFrame, batters: DataFrame, pitchers: DataFrame, s
         F.col("p_pitcher_rest_days").alias("pit_rest_days"), "target")
 
 
-def exit_training(state: DataFrame, pitchers: DataFrame, since: str = "2018-01-01", block: int = 64) -> DataFrame:
+def exit_training(state: DataFrame, pitchers: DataFrame, since: str = "2018-01-01") -> DataFrame:
     """One row per plate appearance with the label whether the pitcher was replaced after it."""
     from scorebook.operators.windows import pull_labels, re_features, terminal_pitch
 
@@ -73,7 +73,7 @@ def exit_training(state: DataFrame, pitchers: DataFrame, since: str = "2018-01-0
             "pitcher_outing_walks", "pitcher_outing_hits", "pitcher_outing_k", "pitcher_outing_runs",
             "pitcher_outing_whip", "pitcher_recent_whip"]
     pas = terminal_pitch(state.where(F.col("target").isNotNull()).select(*cols)).drop("pitch_number")
-    pas = pull_labels(pas, block)
+    pas = pull_labels(pas)
     known = pitchers.select("pitcher_id", "game_date", "career_avg_bf_per_app", "pitcher_rest_days")
     rows = asof_join(pas, known, ["pitcher_id"], "game_date", "game_date", strict=False)
     rows = rows.where(F.col("game_date") >= F.lit(since).cast("date"))
@@ -91,4 +91,4 @@ def exit_training(state: DataFrame, pitchers: DataFrame, since: str = "2018-01-0
         zero("pitcher_recent_whip", 0.0).alias("pitcher_recent_whip"),
         zero("career_avg_bf_per_app", 20.0).alias("avg_bf_per_app"),
         zero("pitcher_rest_days", -1).alias("pit_rest_days"), "pulled")
-    return re_features(rows, block)
+    return re_features(rows)

@@ -50,14 +50,19 @@ PERSON = ("struct<id:bigint,fullName:string,firstName:string,lastName:string,act
           "pitchHand:struct<code:string>,currentTeam:struct<id:bigint,name:string>>")
 
 
+def is_object(doc: Column) -> Column:
+    """Valid JSON with an object at the top; NULL, arrays and bare values are not."""
+    return F.coalesce(F.try_parse_json(doc).isNotNull() & doc.rlike(r"^\s*\{"), F.lit(False))
+
+
 def with_errors(raw: DataFrame, schema: str, col: str = "doc") -> tuple[DataFrame, DataFrame]:
     """Parse documents one by one: (rows with ``parsed``, rows that are not valid JSON objects).
 
     A bad document never fails the job; its row is returned for a later retry.
     """
-    ok = F.try_parse_json(F.col(col)).isNotNull()
+    ok = is_object(F.col(col))
     good = raw.where(ok).withColumn("parsed", F.from_json(F.col(col), schema))
-    return good, raw.where(F.col(col).isNull() | ~ok)
+    return good, raw.where(~ok)
 
 
 def _ts(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.sources.documents import fan_out
+from scorebook.sources.documents import fan_out, is_object
 
 HORIZON = ("struct<n_reached:int,pred_we:double,pred_we_std:double,actual_we:double,"
            "pred_run_diff:struct<mean:double,std:double>,actual_home_score:int,actual_away_score:int>")
@@ -21,8 +21,8 @@ STDS = [25, 50, 100, 200, 500]
 
 
 def parse_runs(raw: DataFrame, col: str = "results") -> DataFrame:
-    ok = F.try_parse_json(F.col(col)).isNotNull()
-    return raw.withColumn("__r", F.when(ok, F.from_json(F.col(col), SUMMARY)))
+    """``__r``, the typed summary, parsed once and staged by the caller; NULL where the text is no JSON object."""
+    return raw.withColumn("__r", F.when(is_object(F.col(col)), F.from_json(F.col(col), SUMMARY)))
 
 
 def _games(parsed: DataFrame) -> DataFrame:

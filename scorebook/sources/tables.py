@@ -103,14 +103,9 @@ def chunk(df: DataFrame, start: str, end: str, col: str = "game_date") -> DataFr
     return df.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def restrict_keys(df: DataFrame, keys: list | DataFrame, key: str = "game_pk", inline: int = 1000) -> DataFrame:
-    """Rows of the listed keys: an IN list that reaches the scan when short, a semi join otherwise."""
-    if isinstance(keys, DataFrame):
-        return df.join(keys.select(key), key, "left_semi")
-    if len(keys) <= inline:
-        return df.where(F.col(key).isin(list(keys)))
-    frame = df.sparkSession.createDataFrame([(k,) for k in keys], f"{key} {df.schema[key].dataType.simpleString()}")
-    return df.join(frame, key, "left_semi")
+def restrict_keys(df: DataFrame, keys: DataFrame, key: str = "game_pk") -> DataFrame:
+    """Rows of the listed keys."""
+    return df.join(keys.select(key), key, "left_semi")
 
 
 def delete_insert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,9 +47,16 @@ class KeyedChanges:
         return f"{self.path}/out/b={batch_id:08d}"
 
     def previous(self, batch_id: int) -> DataFrame | None:
-        """State after the batch before ``batch_id``. Every batch writes one, so it is the next lower id."""
+        """State after the batch before ``batch_id``. Every batch writes one, so it is the next lower id.
+
+        Only the first batch may start without one; a missing folder later on is an error.
+        """
+        if batch_id == 0:
+            return None
         path = self.state_folder(batch_id - 1)
-        return self.spark.read.parquet(path) if exists(self.spark, f"{path}/_SUCCESS") else None
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            raise FileNotFoundError(f"batch {batch_id} needs the state in {path}")
+        return self.spark.read.parquet(path)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = self.previous(batch_id)
@@ -69,10 +76,16 @@ class KeyedChanges:
 
     def snapshot(self) -> DataFrame:
         """Newest row per key after the last finished batch."""
-        done = 0
-        while exists(self.spark, f"{self.state_folder(done + 1)}/_SUCCESS"):
-            done += 1
-        return self.spark.read.parquet(self.state_folder(done))
+        return newest_output(self.spark, f"{self.path}/state")
+
+
+def newest_output(spark: SparkSession, path: str) -> DataFrame:
+    """The last finished batch folder ``b=<id>`` below ``path``, found in one listing."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in fs.listStatus(hp) if s.getPath().getName().startswith("b=")), reverse=True)
+    done = next(n for n in names if exists(spark, f"{path}/{n}/_SUCCESS"))
+    return spark.read.parquet(f"{path}/{done}")
 
 
 def drop_repeats_step(key: str, order: list[str], bucket: Column, cols: list[str]) -> Step:
