@@ -7,6 +7,8 @@ token; all blocks of a chunk advance together. Chunks are written by Spark, in a
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,14 +21,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scorebook.llm.common import narrow
+from scorebook.llm.counts import byte_alphabet
 from scorebook.session import fresh_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
+#: Fixed value: the pattern by which the vocabulary's tokenizer cuts words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LONGEST = 16
 BLOCK = 512
 CHUNK = 1 << 18
-#: Words whose ids a task keeps; when full, only those that came again stay.
+#: Pieces and words whose ids a task keeps; when full, only those that came again stay.
 KEPT = 1_000_000
 
 
@@ -35,26 +40,57 @@ def _path(vocabulary: str | None) -> str:
 
 
 class WordEncoder:
-    """Ids of texts under a vocabulary in which white space only separates: every word is encoded once."""
+    """Ids of texts under a vocabulary in which white space only separates: every piece or word is encoded once.
+
+    Texts of ASCII and Latin-1 letters, which are the same in every normal form, are cut into pieces by the
+    tokenizer's own pattern here, and the library's model encodes each distinct piece; other texts, and any
+    that could hold a special token, are cut at white space and their words go through the whole tokenizer.
+    """
+
+    PLAIN = re.compile("[ -~\t-\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+", re.ASCII)
 
     def __init__(self, path: str):
         self.tok, self.memo, self.again = Tokenizer.from_file(path), {}, set()
+        self.model, self.plain = self.tok.model, self._known(json.loads(self.tok.to_str()))
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet()) if b > 126})
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
+    @staticmethod
+    def _known(spec: dict) -> bool:
+        """Whether the tokenizer normalises and cuts words in the way the short cut knows."""
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+                and cut[0]["pattern"] == {"Regex": PATTERN} and not cut[1]["add_prefix_space"] and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
+
+    def _units(self, text: str) -> list:
+        if self.plain and "<|" not in text and self.PLAIN.fullmatch(text):
+            return self.PIECE.findall(text.lower())
+        return text.encode("utf-8", "surrogatepass").split()
+
+    def _learn(self, new: list) -> None:
+        dtype, words = self.dtype, [u for u in new if type(u) is bytes]
+        for piece in new:
+            if type(piece) is str:
+                text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                self.memo[piece] = np.array([t.id for t in self.model.tokenize(text)], dtype).tobytes()
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
+                self.memo[w] = np.array(e.ids, dtype).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        units = [self._units(t or "") for t in texts]
         if len(self.memo) > KEPT:
-            self.memo = {w: self.memo[w] for w in self.again} if len(self.again) <= KEPT // 2 else {}
+            self.memo = {u: self.memo[u] for u in self.again} if len(self.again) <= KEPT // 2 else {}
             self.again = set()
-        distinct = set().union(*words)
-        new = sorted(distinct - self.memo.keys())
-        self.again |= distinct.difference(new)
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+        distinct, memo = set().union(*units), self.memo
+        new = [u for u in distinct if u not in memo]
+        self.again.update(distinct.difference(new))
+        self._learn(new)
         end = np.array([END], self.dtype).tobytes()
-        return [b"".join([*map(self.memo.__getitem__, ws), end]) for ws in words]
+        return [b"".join([*map(memo.__getitem__, us), end]) for us in units]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
