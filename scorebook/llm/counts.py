@@ -206,7 +206,7 @@ class Counter:
                 if self.blanks.search(text):
                     spaces += [a + b[0] for a, b in zip(pieces, pieces[1:]) if self._touch(a, b)]
         new = {x for group in cut for pieces in group for x in pieces} | set(spaces)
-        if new := new - self.memo.keys():
+        if new := {x for x in new if x not in self.memo}:
             self.learn(new)
         return [self._joined(p, c) for p, c in zip(parts, cut)]
 
@@ -249,7 +249,7 @@ class Counter:
     def _whole(self, text: str) -> bytes:
         pieces = self.pattern.findall(text)
         new = set(pieces) | {a + b[0] for a, b in zip(pieces, pieces[1:]) if self._touch(a, b)}
-        if new := new - self.memo.keys():
+        if new := {x for x in new if x not in self.memo}:
             self.learn(new)
         return self._plain(text, pieces)
 
