@@ -12,15 +12,20 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def shift(digits: int) -> str:
+    """Added before rounding, so that means that end exactly in a half are rounded alike by both engines."""
+    return f"{3.7 * 10.0 ** -(digits + 4):.2e}"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for the comparison only: two engines add in different orders."""
-    return df.selectExpr(*[f"round({f.name}, {digits}) + 0D AS {f.name}"
+    return df.selectExpr(*[f"round({f.name} + {shift(digits)}D, {digits}) + 0D AS {f.name}"
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f.name for f in df.schema.fields])
 
 
 def rounded_sql(sql: str, doubles: str | list[str], digits: int = 6) -> str:
     names = doubles.split() if isinstance(doubles, str) else doubles
-    repl = ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) + 0.0 AS {n}" for n in names)
+    repl = ", ".join(f"round(CAST({n} AS DOUBLE) + {shift(digits)}::DOUBLE, {digits}) + 0.0 AS {n}" for n in names)
     return f"SELECT * REPLACE ({repl}) FROM ({sql})"
 
 
