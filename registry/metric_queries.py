@@ -286,6 +286,13 @@ def d42(spark, sf):
     return M.pareto(p, "p_retailprice", "p_size", by=["p_brand"], bucket=lambda c: F.floor(c / 100))
 
 
+@query("d42_select_weighted", "SELECT p_brand, p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice <= 1500 QUALIFY row_number() OVER (PARTITION BY p_brand "
+                             "ORDER BY p_size + 0.003 * ln(greatest(p_retailprice, 0.1)), p_partkey) = 1", doubles="p_retailprice")
+def d42w(spark, sf):
+    part = roles.load(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size")
+    return M.select_weighted(part, "p_retailprice", "p_size", by=["p_brand"], max_cost=1500).select("p_brand", "p_partkey", "p_retailprice", "p_size")
+
+
 @query("d42_select_knee", "SELECT p_brand, p_retailprice, p_size, p_partkey FROM part a WHERE p_retailprice <= 1.5 * (SELECT min(p_retailprice) FROM part b WHERE b.p_brand = a.p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice, p_partkey) = 1", doubles="p_retailprice")
 def d42b(spark, sf):
     p = roles.load(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")

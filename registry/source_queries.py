@@ -164,11 +164,26 @@ def _files(spark, sf):
     return roles.load(spark, sf, "orders").selectExpr("concat('t', o_custkey % 40) AS table", "cast(o_orderkey as string) AS path", "floor(o_totalprice) AS length")
 
 
-for _n in ("a21_fragmented", "f7_most_files_first"):
+
+
+@query("a21_list_files", "SELECT 60 AS n_files, true AS small, count(*) AS n_rows FROM lineitem")
+def a21(spark, sf):
+    """A table written in sixty files is found in a real listing."""
+    path = fresh_path(spark, "fragments")
+    roles.load(spark, sf, "lineitem").select("l_orderkey", "l_quantity").repartition(60).write.parquet(path)
+    found = T.fragmented(T.list_files(spark, path))
+    return found.select(F.col("n_files").cast("int").alias("n_files"), (F.col("total_bytes") > 0).alias("small")).withColumn("n_rows", F.lit(spark.read.parquet(path).count()).cast("long"))
+
+
+for _n in ("a21_fragmented",):
     query(_n, f'SELECT tbl AS "table", count(*) AS n_files, CAST(sum(length) AS BIGINT) AS total_bytes FROM ({FILES}) GROUP BY tbl HAVING count(*) >= 30 AND avg(length) < 260000 ORDER BY count(*) DESC, tbl')(
         lambda spark, sf: T.fragmented(_files(spark, sf), min_files=30, small=260000))
 
 
+query("f7_most_files_first", f'SELECT n_files, count(*) AS tables FROM (SELECT count(*) AS n_files FROM ({FILES}) GROUP BY tbl HAVING count(*) >= 10) GROUP BY 1 ORDER BY 1 DESC LIMIT 3')(
+    lambda spark, sf: T.fragmented(_files(spark, sf), min_files=10, small=1 << 40).groupBy("n_files").agg(F.count(F.lit(1)).alias("tables")).orderBy(F.desc("n_files")).limit(3))
+
+
 @query("a22_compact", "SELECT count(*) AS n, sum(l_quantity) AS q, true AS fewer FROM lineitem", doubles="q")
 def a22(spark, sf):
     """Many small files become few; the rows stay."""
@@ -203,13 +218,27 @@ def _log_rows(spark, sf):
 
 
 LOG_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS game_date, user_id % 5 AS game_pk, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, max(round(value * 40, 1)) AS top FROM events GROUP BY ALL"
-for _n in ("a25_read_poll_logs", "a26_write_poll_logs"):
-    @query(_n, LOG_SQL, doubles="top", digits=4)
-    def _logs(spark, sf):
-        path = fresh_path(spark, "polls")
-        logs.write_poll_logs(_log_rows(spark, sf), path)
-        return logs.read_poll_logs(spark, path).groupBy("game_date", "game_pk").agg(
-            F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), F.max("response_ms").alias("top"))
+
+
+def _written_logs(spark, sf):
+    path = fresh_path(spark, "polls")
+    logs.write_poll_logs(_log_rows(spark, sf), path)
+    return logs.read_poll_logs(spark, path)
+
+
+def _log_counts(df):
+    return df.groupBy("game_date", "game_pk").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), F.max("response_ms").alias("top"))
+
+
+@query("a25_read_poll_logs", f"SELECT * FROM ({LOG_SQL}) WHERE game_date <= '2024-01-15' AND game_pk = 3", doubles="top", digits=4)
+def a25(spark, sf):
+    """Folders of other dates and games are not read."""
+    return _log_counts(_written_logs(spark, sf).where("game_date <= '2024-01-15' AND game_pk = 3"))
+
+
+@query("a26_write_poll_logs", LOG_SQL, doubles="top", digits=4)
+def a26(spark, sf):
+    return _log_counts(_written_logs(spark, sf))
 
 
 @query("a27_write_lookup", "SELECT p_brand, n, t AS n_rows FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), (SELECT count(DISTINCT p_brand) AS t FROM part)")

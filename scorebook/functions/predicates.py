@@ -235,9 +235,3 @@ def seed_context(df: DataFrame) -> DataFrame:
         "balls": n("balls"),
         "strikes": n("strikes"),
     })
-
-
-def rows_at_max(df: DataFrame, col: str) -> DataFrame:
-    """Rows holding the column's maximum (a one-row aggregate, joined back)."""
-    top = df.agg(F.max(col).alias(col))
-    return df.join(F.broadcast(top), col, "left_semi")

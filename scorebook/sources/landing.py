@@ -118,15 +118,6 @@ def canonical_games(landing: DataFrame, order: list[str] = (LOAD_ID,)) -> DataFr
         "day_night", "scheduled_innings", "double_header", *order)
 
 
-def canonical_rosters(landing: DataFrame, order: list[str] = (LOAD_ID,)) -> DataFrame:
-    df = dedup_latest(landing, ["game_pk", "player_id"], [F.col(c).desc() for c in order])
-    return df.select("game_pk", "player_id", "team_id", "side", "position", "batting_order", "is_starting_pitcher", *order)
-
-
-def canonical_players(landing: DataFrame, order: list[str] = (LOAD_ID,)) -> DataFrame:
-    return dedup_latest(landing, ["player_id"], [F.col(c).desc() for c in order]).drop(*order)
-
-
 def canonical_timed_events(landing: DataFrame, order: list[str] = (LOAD_ID,)) -> DataFrame:
     """Timed events, de-duplicated first, then with the previous event's end time."""
     from scorebook.operators.windows import event_windows

@@ -17,15 +17,20 @@ def write_poll_logs(df: DataFrame, path: str) -> None:
 
 
 def read_poll_logs(spark: SparkSession, path: str, schema: str = POLL_SCHEMA) -> DataFrame:
-    """Log lines with date and game taken from the path.
+    """Log lines of the ``game_date=<date>/game_pk=<game>/`` layout; filters on either skip whole folders."""
+    return spark.read.schema(f"{schema}, game_date string, game_pk long").json(path)
 
-    Understands both ``<date>/<game>.jsonl`` and ``game_date=<date>/game_pk=<game>/`` layouts.
+
+def read_flat_poll_logs(spark: SparkSession, path: str, schema: str = POLL_SCHEMA) -> DataFrame:
+    """Log lines of the ``<date>/<game>.jsonl`` layout, with date and game taken from the path.
+
+    Give ``path`` the folder of a date to read only that one.
     """
     raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
     name = F.input_file_name()
     return raw.withColumns({
         "game_date": F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})/", 1),
-        "game_pk": F.regexp_extract(name, r"(?:game_pk=|/)(\d+)(?:\.jsonl|/)", 1).try_cast("long"),
+        "game_pk": F.regexp_extract(name, r"/(\d+)\.jsonl", 1).try_cast("long"),
     })
 
 

@@ -149,11 +149,6 @@ def poll_metrics_stream(stream: DataFrame, key: str = "game_pk") -> DataFrame:
         F.coalesce(F.max(ok), F.lit(0.0)).alias("max_response_ms"))
 
 
-def drop_late_duplicates(stream: DataFrame, cols: list[str], ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Bounded de-duplication state: repeats within ``delay`` go, rows later than it are dropped."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(cols)
-
-
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Drive a stream through a ``foreachBatch`` sink until its input is used up."""
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -162,12 +157,20 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 
 # --- silence -----------------------------------------------------------------
 
+def with_clock(stream: DataFrame) -> DataFrame:
+    """The stream with one all-NULL row a second, so that a micro-batch runs although the source is silent."""
+    clock = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return stream.unionByName(clock.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]))
+
+
 @dataclass
 class StaleAlerts:
     """``foreachBatch`` sink that reports live keys without a new row for ``seconds``.
 
     The newest row per key is kept like in :class:`KeyedChanges`; every batch checks all keys
-    against the clock, so a key is found although it sends nothing.
+    against the clock, so a key is found although it sends nothing. Feed it ``with_clock(stream)``
+    on a processing-time trigger: without the clock a source that stops altogether runs no batch.
+    Rows without a key only tick.
     """
 
     spark: SparkSession
@@ -179,7 +182,7 @@ class StaleAlerts:
 
     def __call__(self, batch: DataFrame, batch_id: int, now: datetime | None = None) -> None:
         keep = KeyedChanges(self.spark, self.path, self.key, [self.ts], lambda df: df)
-        before = keep.previous(batch_id)
+        before, batch = keep.previous(batch_id), batch.where(F.col(self.key).isNotNull())
         rows = batch if before is None else before.unionByName(batch)
         dedup_latest(rows, [self.key], [F.col(self.ts).desc()]).write.mode("overwrite").parquet(keep.state_folder(batch_id))
         newest = self.spark.read.parquet(keep.state_folder(batch_id))

@@ -123,3 +123,31 @@ def test_pending_and_refetch(spark):
     done = spark.createDataFrame([(1,)], "game_pk int")
     assert rows(T.pending_keys(games, done), "game_pk") == [(3,)]
     assert rows(T.refetch_dates(games, d)) == [(d,)]
+
+
+def test_poll_logs_of_other_dates_are_not_read(spark):
+    from scorebook.sources import logs
+
+    path = T.fresh_path(spark, "polls")
+    df = spark.range(40).selectExpr("double(id) AS ts", "double(id) AS response_ms", "true AS changed", "string(null) AS error", "'x' AS event_type", "string(null) AS mlb_event_ts",
+                                    "2D AS interval_s", "1 AS inning", "'Top' AS inning_half", "false AS inning_transition", "concat('2024-01-0', id % 4 + 1) AS game_date", "id % 2 AS game_pk")
+    logs.write_poll_logs(df, path)
+    day = logs.read_poll_logs(spark, path).where("game_date = '2024-01-02'")
+    assert day.count() == 10
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "game_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_increment_from_the_newest_state(spark):
+    from scorebook.operators.cumulate import advance, cumulate, newest_state, running_sums
+
+    rows_ = [(e, f"20{19 + s}-05-{d:02d}", 2019 + s, float(e + d) if (e + d) % 3 else None) for e in range(4) for s in range(2) for d in range(1, 9) if (e + s + d) % 4]
+    df = spark.createDataFrame(rows_, "e int, day string, season int, x double").withColumn("game_date", F.to_date("day")).drop("day")
+    full = {tuple(r) for r in running_sums(df, "e", ["x"]).collect()}
+    got, state, cuts = set(), None, ["2019-05-04", "2019-05-08", "2020-05-03", "2020-05-09"]
+    for lo, hi in zip(["2019-01-01", *cuts], cuts):
+        part = df.where(f"game_date >= '{lo}' AND game_date < '{hi}'")
+        out = cumulate(part, "e", ["x"], newest=state)
+        got |= {tuple(r) for r in out.collect()}
+        state = newest_state(part, "e", ["x"]) if state is None else advance(state, out, "e")
+    assert got == full

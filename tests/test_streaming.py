@@ -101,3 +101,31 @@ def test_stale_alerts_follow_the_snapshot(spark):
     sink(df.where("game_pk < 3"), 0, now=T0 + timedelta(seconds=60))
     sink(df.where("game_pk = 3"), 1, now=T0 + timedelta(minutes=6))
     assert rows(sink.read(), "game_pk", "quiet_seconds") == [(1, 360.0)]
+
+
+def test_a_source_that_stops_is_noticed(spark):
+    """After its only file the source is silent; the clock keeps batches running and the alert comes."""
+    import time
+
+    path = fresh_path(spark, "silent")
+    now = datetime.now()
+    spark.createDataFrame([(1, now, "Live"), (2, now, "Final")], "game_pk long, ts timestamp, abstract_game_state string").coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("game_pk long, ts timestamp, abstract_game_state string").parquet(f"{path}/in")
+    sink = live.StaleAlerts(spark, f"{path}/state", "game_pk", "ts", seconds=3)
+    q = live.with_clock(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="1 second").start()
+    try:
+        until, seen = time.time() + 60, []
+        while not seen and time.time() < until:
+            time.sleep(1)
+            if q.lastProgress and q.lastProgress["batchId"] >= 2:
+                seen = sink.read().select("game_pk").distinct().collect()
+        assert q.exception() is None and [r[0] for r in seen] == [1]
+    finally:
+        q.stop()
+
+
+def test_missing_state_is_an_error(spark):
+    sink = live.KeyedChanges(spark, fresh_path(spark, "gap"), "game_pk", ["ts"], lambda df: df)
+    assert sink.previous(0) is None
+    with pytest.raises(FileNotFoundError):
+        sink.previous(3)
