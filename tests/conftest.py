@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from scorebook.session import ensure_checkpoint_dir, local_session  # noqa: E402
+from scorebook.session import ensure_checkpoint_dir, local_session, remove_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,6 +14,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
+    remove_staged(s)
 
 
 def rows(df, *cols):
