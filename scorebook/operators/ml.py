@@ -89,16 +89,22 @@ def score(df: DataFrame, model, features: list[str], row_id: str, knots: DataFra
         row_id, "class", F.col("v.proba").alias("p"), F.col("v.calibrated").alias("p_calibrated"))
 
 
+AUC_BUCKETS = 256
+
+
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
     """Area under the ROC curve by ranks over distinct scores.
 
     Counts per score are combined first; the running number of negatives below a score comes
-    from two levels of buckets over [0, 1], so no task orders all scores.
+    from two levels: buckets cut at quantiles of the scores themselves, so that no task orders all of them,
+    however narrow the range they lie in.
     """
     from pyspark.sql import Window
 
     per = df.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    per = per.withColumn("__b", F.floor(F.col("p") * 256))
+    shares = F.array(*[F.lit(i / AUC_BUCKETS) for i in range(1, AUC_BUCKETS)])
+    cuts = F.lit(per.agg(F.percentile_approx("p", shares, 10_000)).first()[0] or [0.0])
+    per = per.withColumn("__b", F.size(F.filter(cuts, lambda c: c < F.col("p"))))
     inside = Window.partitionBy("__b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     tops = per.groupBy("__b").agg(F.sum("neg").alias("__n"))
     across = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
