@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import map_rows, narrow, quoted, spare, staged
+from scorebook.llm.common import SLICE_BYTES, map_rows, narrow, quoted, slices, spare, staged
 
 RADIUS = 2
 SHINGLE = 3
@@ -112,8 +112,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def labels(prints: DataFrame) -> DataFrame:
     """fp, root, component_id of every distinct fingerprint of staged (doc_id, fp)."""
+    return grouped(prints, links(prints.select("fp").distinct()))
+
+
+def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, root, component_id of every distinct ``fp`` of staged (doc_id, fp), linked by edges u > v."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
+    roots = components(edges)
     rooted = staged(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "root", "component_id")
@@ -122,13 +127,18 @@ def labels(prints: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id."""
     prints = staged(fingerprints(docs, id_col, text_col), "simhash")
-    stay = (prints.join(labels(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*"))
+    digests = lambda texts: np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
+    return one_of_each(docs, prints.join(labels(prints), "fp"), digests, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, digests, id_col: str, text_col: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """Of each root of ``groups`` (doc_id, fp, root, component_id) the row with the smallest id; ``digests`` gives the fp of texts."""
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
 
     def printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, fp])
+            for part in slices(b, at, limit):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests(part.column(at)))], [*b.schema.names, fp])
 
     at, fp, key = docs.columns.index(text_col), spare(docs, "_fp"), spare(docs, "_id")
     rows = map_rows(docs, printed, **{fp: T.LongType()})
