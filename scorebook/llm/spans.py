@@ -123,19 +123,19 @@ def _earliest(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, at: np.ndarray) -
     return order, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-# A place packs the first word, 24 bits of the text's hash (so that rows with the same id are told apart) and the number of windows.
-def _pack(pos: np.ndarray, th: np.ndarray, windows: np.ndarray | int) -> np.ndarray:
-    return (pos.astype(np.int64) << 28) | (th.astype(np.int64) << 4) | windows
+# A place packs the first word and the number of windows; th, the 64-bit hash of the text, tells rows with the same id apart.
+def _pack(pos: np.ndarray, windows: np.ndarray | int) -> np.ndarray:
+    return (pos.astype(np.int64) << 4) | windows
 
 
-_ROWS = "key long, salt int, k1 long, k2 long, doc_id long, at long"
+_ROWS = "key long, salt int, k1 long, k2 long, doc_id long, th long, at long"
 
 
-def _rows(key, salt, k1, k2, doc, at) -> pa.RecordBatch:
+def _rows(key, salt, k1, k2, doc, th, at) -> pa.RecordBatch:
     n = len(doc)
     full = lambda x, t: pa.array(np.broadcast_to(x, n).astype(t) if not isinstance(x, np.ndarray) or x.dtype != np.uint64 else x.view(np.int64))
-    return pa.RecordBatch.from_arrays([full(key, np.int64), full(salt, np.int32), full(k1, np.int64), full(k2, np.int64), full(doc, np.int64), full(at, np.int64)],
-                                      ["key", "salt", "k1", "k2", "doc_id", "at"])
+    return pa.RecordBatch.from_arrays([full(key, np.int64), full(salt, np.int32), full(k1, np.int64), full(k2, np.int64), full(doc, np.int64), full(th, np.int64), full(at, np.int64)],
+                                      ["key", "salt", "k1", "k2", "doc_id", "th", "at"])
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +161,8 @@ def _later(ask: bool):
         first = None  # key, k1, k2, doc, pos of the content at hand
         held = None  # the one first row of a key whose next row is still to be seen
         for b in it:
-            key, k1, k2, doc, at = (b.column(c).to_numpy() for c in ("key", "k1", "k2", "doc_id", "at"))
-            salted, pos, n = b.column("salt").to_numpy() > 0, at >> 28, len(doc)
+            key, k1, k2, doc, th, at = (b.column(c).to_numpy() for c in ("key", "k1", "k2", "doc_id", "th", "at"))
+            salted, pos, n = b.column("salt").to_numpy() > 0, at >> 4, len(doc)
             if not n:
                 continue
             known = (k1 == 0) & (k2 == 0)
@@ -174,7 +174,7 @@ def _later(ask: bool):
             at_new = np.flatnonzero(new)
             sdoc, spos = np.append(doc[at_new], first[3] if first else 0), np.append(pos[at_new], first[4] if first else 0)
             dup = known | (~new & ((doc > sdoc[src]) | ((doc == sdoc[src]) & (pos > spos[src]))))
-            out = [(doc[dup], at[dup], np.zeros(dup.sum(), np.int32))]
+            out = [(doc[dup], th[dup], at[dup], np.zeros(dup.sum(), np.int32))]
             if ask:
                 heads = np.flatnonzero(new & ~known)
                 hkey, hsalt = key[heads], salted[heads]
@@ -183,31 +183,31 @@ def _later(ask: bool):
                 twin[:-1] |= hkey[1:] == hkey[:-1]
                 if held and len(heads) and held[0] == hkey[0]:
                     twin[0] = True
-                    if not held[3]:
-                        out.append((np.array([held[1]]), np.array([held[2]]), np.ones(1, np.int32)))
+                    if not held[4]:
+                        out.append((*(np.array([x]) for x in held[1:4]), np.ones(1, np.int32)))
                 go = twin | hsalt
-                out.append((doc[heads[go]], at[heads[go]], np.ones(go.sum(), np.int32)))
+                out.append((doc[heads[go]], th[heads[go]], at[heads[go]], np.ones(go.sum(), np.int32)))
                 if len(heads):
-                    held = (hkey[-1], doc[heads[-1]], at[heads[-1]], bool(go[-1]))
+                    held = (hkey[-1], doc[heads[-1]], th[heads[-1]], at[heads[-1]], bool(go[-1]))
             last = at_new[-1] if len(at_new) else None
             if last is not None:
                 first = (key[last], k1[last], k2[last], doc[last], pos[last])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["doc_id", "at", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], ["doc_id", "th", "at", "kind"])
 
     return run
 
 
-def _emit(key, salt, k1, k2, doc, at) -> Iterator[pa.RecordBatch]:
+def _emit(key, salt, k1, k2, doc, th, at) -> Iterator[pa.RecordBatch]:
     """The earliest row of each content of a slice under its key; later ones as known duplicates under their document."""
     if not len(doc):
         return
-    order, head = _earliest(k1, k2, doc, at >> 28 << 28)
-    doc, at, pos = doc[order], at[order], at[order] >> 28
+    order, head = _earliest(k1, k2, doc, at >> 4 << 4)
+    doc, th, at, pos = doc[order], th[order], at[order], at[order] >> 4
     later = (doc > doc[head]) | ((doc == doc[head]) & (pos > pos[head]))
     one = ~later
-    yield _rows(key[order][one], salt[order][one], k1[order][one], k2[order][one], doc[one], at[one])
+    yield _rows(key[order][one], salt[order][one], k1[order][one], k2[order][one], doc[one], th[one], at[one])
     if later.any():
-        yield _rows(_mixed(doc[later].view(np.uint64)), 0, 0, 0, doc[later], at[later])
+        yield _rows(_mixed(doc[later].view(np.uint64)), 0, 0, 0, doc[later], th[later], at[later])
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -223,11 +223,10 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
                 text, pos, windows, anchor, k1, k2 = Words(part.column("text")).factors()
                 doc, th = _ids(part)
                 salt = np.where(np.isin(anchor.view(np.int64), sent.value), (k1.view(np.uint64) % U(SALTS)).astype(np.int32) + 1, 0)
-                yield from _emit(anchor, salt, k1, k2, doc[text], _pack(pos, th[text], windows))
+                yield from _emit(anchor, salt, k1, k2, doc[text], th[text], _pack(pos, windows))
 
     found = staged(docs.mapInArrow(factored, _ROWS).repartition("key", "salt").sortWithinPartitions("key", "k1", "k2", "doc_id", "at")
-                   .mapInArrow(_later(True), "doc_id long, at long, kind int"), "spans-factors")
-    place = lambda c: (F.shiftright(F.col(c), 4).bitwiseAND(0xFFFFFF)).alias("th")
+                   .mapInArrow(_later(True), "doc_id long, th long, at long, kind int"), "spans-factors")
 
     def boundary(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -235,17 +234,17 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
                 w, (doc, th) = Words(part.column("text")), _ids(part)
                 asks, row = part.column("asks").flatten().to_numpy(), pa.compute.list_parent_indices(part.column("asks")).to_numpy()
                 n = asks & 15
-                pos = np.repeat(asks >> 28, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos = np.repeat(asks >> 4, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 a = w.first[row] + pos
                 k1, k2 = w.a.run(a, a + WINDOW), w.b.run(a, a + WINDOW)
-                yield from _emit(k1, np.zeros(len(k1), np.int32), k1, k2, doc[row], _pack(pos, th[row], 1))
+                yield from _emit(k1, np.zeros(len(k1), np.int32), k1, k2, doc[row], th[row], _pack(pos, 1))
 
-    asks = found.where("kind = 1").select("doc_id", place("at"), "at").groupBy("doc_id", "th").agg(F.collect_set("at").alias("asks"))
+    asks = found.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_set("at").alias("asks"))
     windows = (docs.join(asks, ["doc_id", "th"]).mapInArrow(boundary, _ROWS).repartition("key").sortWithinPartitions("key", "k1", "k2", "doc_id", "at")
-               .mapInArrow(_later(False), "doc_id long, at long, kind int"))
+               .mapInArrow(_later(False), "doc_id long, th long, at long, kind int"))
     return (found.where("kind = 0").union(windows)
-            .select("doc_id", place("at"), F.shiftright("at", 28).alias("pos"), (F.col("at").bitwiseAND(15) + WINDOW - 1).alias("words")))
+            .select("doc_id", "th", F.shiftright("at", 4).alias("pos"), (F.col("at").bitwiseAND(15) + WINDOW - 1).alias("words")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     least = F.lit(-(1 << 63)).cast("long")
     df = narrow(docs, doc_id=id_col, text=text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("th"), "text")
+        F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     spans = duplicate_spans(df).groupBy("doc_id", "th").agg(F.collect_list(F.shiftleft("pos", 8).bitwiseOR(F.col("words"))).alias("spans"))
 
     def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
