@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from scorebook import constants as K
 from scorebook.functions import predicates as B
 from scorebook.functions.features import resolve_features

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from scorebook.operators.cumulate import cumulate, recompute_entities, rest_days, running_sums
 from scorebook.operators.windows import dedup_latest
 from scorebook.session import fresh_path

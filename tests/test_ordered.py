@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from scorebook.operators.joins import asof_join
 from scorebook.plans.ordered import scan
 

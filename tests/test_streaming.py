@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from scorebook.operators import feeds
 from scorebook.session import fresh_path
 from scorebook.streaming import live
