@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scorebook.llm import counts, decontam, mixing, quality, simhash, tokens
+from brute import brute_least
+from scorebook.llm import counts, decontam, mixing, quality, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -164,11 +165,11 @@ def test_pipeline_stages(spark):
     scores = {r.doc_id: r.predicted for r in quality.score(spark.read.parquet(f"{SF}/documents.parquet"), labels).collect()}
     good = kept[names[0]]
     assert set(good.doc_id) == {i for i, p in scores.items() if p}
-    fps, ids = [simhash.fingerprint(t) for t in good.text], good.doc_id.tolist()
-    from test_dedup import brute_groups
-
-    groups = brute_groups(fps, ids)
-    assert sorted(kept[names[1]].doc_id) == sorted(set(groups.values()))
+    ids, least = good.doc_id.tolist(), brute_least(good.text.tolist())
+    first = {}
+    for i, g in zip(ids, least):
+        first[g] = min(i, first.get(g, i))
+    assert sorted(kept[names[1]].doc_id) == sorted(first.values())
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     clean = kept[names[2]]
     items = decontam.Items(bench.item_id.tolist(), bench.text.tolist())
