@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import counts, decontam, langid, mixing, quality, search, simhash, spans, tokens, urls
+from scorebook.llm import counts, decontam, langid, mixing, quality, resample, search, simhash, spans, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,8 @@ hits AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * idf * d.tf * 2.2 / (d
 SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits) WHERE rank <= 10
 """
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
