@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import counts, decontam, langid, mixing, quality, resample, search, simhash, spans, tokens, urls
+from scorebook.llm import counts, decontam, langid, mixing, quality, resample, runs, search, simhash, spans, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +135,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 @_query
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_periodic_tails(_table(spark, sf_dir, "documents"))))
