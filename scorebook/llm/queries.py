@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import counts, decontam, langid, mixing, quality, resample, runs, search, simhash, spans, tokens, urls
+from scorebook.llm import counts, decontam, langid, mixing, packing, quality, resample, runs, search, simhash, spans, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +140,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_periodic_tails(_table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
