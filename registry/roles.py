@@ -342,6 +342,10 @@ def polls(spark, sf) -> DataFrame:
     return _apply(load(spark, sf, "events"), poll_steps(Spark))
 
 
+def polls_columns() -> list[str]:
+    return poll_steps(Spark)[1]
+
+
 def eval_games(spark, sf) -> DataFrame:
     return _apply(load(spark, sf, "orders"), eval_game_steps(Spark))
 
