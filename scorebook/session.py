@@ -58,8 +58,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete one folder that ``fresh_path`` named."""
+    _MADE.remove(path)
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Delete what this process staged. Call it when no result is read any more."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in list(_MADE):
+        remove_path(spark, path)
