@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.session import fresh_path
+from scorebook.session import fresh_path, remove_path
 
 #: A word is a run of anything but the ASCII space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,7 +48,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Written once to the cluster's shared folder and read back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Removes what ``staged`` wrote for these, as soon as everything made from them is written itself."""
+    for df in frames:
+        remove_path(df.sparkSession, _PATHS.pop(df))
 
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -70,3 +71,16 @@ def test_stage_edge_cases(spark, tricky, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 1 and not {2, 5, 6, 100} & set(ids) and {1, 3, 4, 8, 200} <= set(ids) and ids.count(9) == 2
     assert neardup.representatives(nothing).count() == 0
+
+
+def test_sketches_never_lose_a_pair():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.choice([1, 2, 3, 5, 17, 64, 65, 300])
+        a = np.unique(np.array([rng.randrange(1 << 58) for _ in range(n)]))
+        b = np.unique(np.concatenate([a[: rng.randrange(len(a) + 1)], np.array([rng.randrange(1 << 58) for _ in range(rng.randrange(1, n + 1))])]))
+        assert neardup.most_common(neardup._sketch(a), neardup._sketch(b)) >= len(np.intersect1d(a, b))
+    far = [np.array([rng.randrange(1 << 58) for _ in range(500)]) for _ in range(2)]
+    assert neardup.most_common(*map(neardup._sketch, far)) < 400
+    same = np.arange(400) << 20
+    assert neardup.most_common(neardup._sketch(same), neardup._sketch(same)) > 400  # too many in one place: no bound
