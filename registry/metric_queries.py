@@ -12,6 +12,7 @@ from registry.core import query
 from registry.lookup_queries import GRID, SENS, WE, levels, we_sql
 from scorebook.operators import boards, feeds, lookups as L, metrics as M, simstats as X
 from scorebook.operators import counts as C
+from scorebook.operators.skyline import skyline
 from scorebook.plans import profiles as P
 
 P5 = ["predictions"]
@@ -286,6 +287,30 @@ def d42(spark, sf):
     return M.pareto(p, "p_retailprice", "p_size", by=["p_brand"], bucket=lambda c: F.floor(c / 100))
 
 
+def _unbeaten(table: str, key: str, by: str, costs: list[str]) -> str:
+    le, lt = " AND ".join(f"b.{c} <= a.{c}" for c in costs), " OR ".join(f"b.{c} < a.{c}" for c in costs)
+    same = f"b.{by} = a.{by} AND " if by else ""
+    return f"SELECT {key}, {', '.join(costs)} FROM {table} a WHERE NOT EXISTS (SELECT 1 FROM {table} b WHERE {same}{le} AND ({lt}))"
+
+
+COSTS3 = "(SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS price, p_size AS size, (p_partkey * 7919) % 1009 AS wait FROM part)"
+COSTS4 = ("(SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_extendedprice AS DOUBLE) AS price, 50 - CAST(l_quantity AS DOUBLE) AS few, "
+          "round(0.2 - CAST(l_discount AS DOUBLE), 2) AS full_price, CAST(l_tax AS DOUBLE) AS tax FROM lineitem)")
+
+
+@query("d42_skyline_3", _unbeaten(COSTS3, "p_partkey", "", ["price", "size", "wait"]), doubles="price")
+def d42s3(spark, sf):
+    p = roles.load(spark, sf, "part").selectExpr("p_partkey", "CAST(p_retailprice AS DOUBLE) AS price", "p_size AS size", "(p_partkey * 7919) % 1009 AS wait")
+    return skyline(p, ["price", "size", "wait"])
+
+
+@query("d42_skyline_4", _unbeaten(COSTS4, "l_orderkey, l_linenumber", "l_suppkey", ["price", "few", "full_price", "tax"]), doubles="price few full_price tax")
+def d42s4(spark, sf):
+    p = roles.load(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "CAST(l_extendedprice AS DOUBLE) AS price", "50 - CAST(l_quantity AS DOUBLE) AS few",
+                                                     "round(0.2D - CAST(l_discount AS DOUBLE), 2) AS full_price", "CAST(l_tax AS DOUBLE) AS tax")
+    return skyline(p, ["price", "few", "full_price", "tax"], ["l_suppkey"]).drop("l_suppkey")
+
+
 @query("d42_select_weighted", "SELECT p_brand, p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice <= 1500 QUALIFY row_number() OVER (PARTITION BY p_brand "
                              "ORDER BY p_size + 0.003 * ln(greatest(p_retailprice, 0.1)), p_partkey) = 1", doubles="p_retailprice")
 def d42w(spark, sf):

@@ -455,6 +455,13 @@ def j8(spark, sf):
     return ml.fit_calibration(p, roles.PRIORITIES)
 
 
+@query("j8_calibration_cells", roles.with_ctes(["predictions"], """SELECT class, cell, CAST(sum(n) AS BIGINT) AS n, sum(sx) / sum(n) AS x, sum(sy) / sum(n) AS y FROM (
+ SELECT *, CAST(floor((sum(n) OVER (PARTITION BY class ORDER BY slot) - n) * 50 / sum(n) OVER (PARTITION BY class)) AS BIGINT) AS cell FROM (
+ SELECT class, least(CAST(floor(p * 65536) AS BIGINT), 65535) AS slot, count(*) AS n, sum(p) AS sx, count(*) FILTER (WHERE label = class) AS sy FROM (SELECT label, unnest(proba) AS p, CAST(generate_subscripts(proba, 1) - 1 AS INTEGER) AS class FROM predictions) GROUP BY ALL)) GROUP BY class, cell"""), doubles="x y")
+def j8c(spark, sf):
+    return ml.calibration_cells(roles.predictions(spark, sf).withColumnRenamed("label", "label_index"), roles.PRIORITIES, cells=50)
+
+
 @query("j9_score")
 def j9(spark, sf):
     data = _labelled(spark, sf)

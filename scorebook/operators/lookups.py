@@ -206,20 +206,38 @@ def knot_segments(knots: DataFrame, cls: str = "class") -> DataFrame:
     return knots.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__knots"))
 
 
+def knots_below(value: Column, knots: Column) -> Column:
+    """How many knots have x <= value, by binary search over the sorted array."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(knots) + F.lit(1.0))).cast("int") + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.size(knots).alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.try_element_at(knots, mid + 1)["x"] <= value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(steps, start, half, lambda s: s["lo"])
+
+
 def interpolate(value: Column, knots: Column) -> Column:
     """Piecewise-linear value at ``value``; the ends are extended flat."""
-    lower = F.filter(knots, lambda k: k["x"] <= value)
-    upper = F.filter(knots, lambda k: k["x"] > value)
-    a, b = F.try_element_at(lower, F.lit(-1)), F.try_element_at(upper, F.lit(1))
-    inner = a["y"] + (value - a["x"]) * (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
-    return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(inner)
+    at = F.when(value.isNotNull(), knots_below(value, knots))
+    found = F.struct(F.when(at > 0, F.try_element_at(knots, at)).alias("a"), F.try_element_at(knots, at + 1).alias("b"))
+
+    def line(f: Column) -> Column:
+        a, b = f["a"], f["b"]
+        inner = a["y"] + (value - a["x"]) * (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+        return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(inner)
+
+    return F.transform(F.array(found), line)[0]  # the search once, not once per use
 
 
 def calibrate_vector(df: DataFrame, knots: DataFrame, proba: str = "proba", out: str = "calibrated") -> DataFrame:
     """Calibrate an array of class probabilities in place and rescale it to sum one: no explode, no shuffle.
 
-    ``knots`` (class, x, y) are the model's own curves; they travel as one broadcast row, and classes without a
-    curve give 0. Probabilities without a row of curves stay as they are.
+    ``knots`` (class, x, y) are the model's own curves, ``ml.CALIBRATION_CELLS`` knots a class or so at most (16 KB);
+    they travel as one broadcast row, and classes without a curve give 0. Probabilities without a row of curves stay as they are.
     """
     curves = knots.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
     one = curves.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("int"), "k"))).alias("__curves"))

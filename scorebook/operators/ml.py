@@ -65,17 +65,56 @@ def class_probabilities(df: DataFrame, model, features: list[str], keep: list[st
     return scored.select(*keep, vector_to_array("probability").alias("proba"))
 
 
-def fit_calibration(scored: DataFrame, n_classes: int, label: str = "label_index", proba: str = "proba") -> DataFrame:
-    """Knots (class, x, y) of one isotonic curve per class, each a distributed fit."""
-    out = None
-    for k in range(n_classes):
-        data = scored.select(F.col(proba)[k].alias("features"),
-                             F.when(F.col(label) == k, 1.0).otherwise(0.0).alias("label"))
-        m = IsotonicRegression(featuresCol="features", labelCol="label").fit(data)
-        rows = [(k, float(x), float(y)) for x, y in zip(m.boundaries, m.predictions)]
-        part = scored.sparkSession.createDataFrame(rows, "class int, x double, y double")
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Cells of equal size that a class's scores are reduced to, and so the most knots of its curve.
+CALIBRATION_CELLS = 1000
+#: Slices of [0, 1] that are counted first.
+CALIBRATION_GRID = 1 << 16
+
+
+def calibration_cells(scored: DataFrame, n_classes: int, label: str = "label_index", proba: str = "proba", cells: int = CALIBRATION_CELLS,
+                      grid: int = CALIBRATION_GRID) -> DataFrame:
+    """class, cell, n, x (mean score), y (share of the class): one pass over the scores for all classes.
+
+    Scores are counted in ``grid`` narrow slices, which combine on the map side; slices next to each other are
+    then joined to about ``cells`` cells of equal numbers. A slice with more rows than a cell is a cell.
+    """
+    from pyspark.sql import Window
+
+    long = scored.select(F.col(label).alias("y"), F.posexplode(proba).alias("class", "p")).where((F.col("class") < n_classes) & F.col("p").isNotNull())
+    slot = F.least(F.floor(F.col("p") * grid), F.lit(grid - 1))
+    fine = long.groupBy("class", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p").alias("sx"), F.count_if(F.col("y") == F.col("class")).alias("sy"))
+    order = Window.partitionBy("class").orderBy("slot")  # ``grid`` rows at most
+    below = F.sum("n").over(order) - F.col("n")
+    fine = fine.withColumn("cell", F.floor(below * cells / F.sum("n").over(Window.partitionBy("class"))))
+    return fine.groupBy("class", "cell").agg(F.sum("n").alias("n"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
+
+
+def pool_adjacent(x: list[float], y: list[float], n: list[int]) -> list[tuple[float, float]]:
+    """Knots of the weighted isotonic curve of points in order of x: ends of each level, or its only point."""
+    levels: list[list] = []  # mean, weight, first x, last x
+    for a, b, w in zip(x, y, n):
+        levels.append([b, w, a, a])
+        while len(levels) > 1 and levels[-2][0] >= levels[-1][0]:
+            mean, weight, _, last = levels.pop()
+            before = levels[-1]
+            before[0] = (before[0] * before[1] + mean * weight) / (before[1] + weight)
+            before[1] += weight
+            before[3] = last
+    return [(at, mean) for mean, _, first, last in levels for at in ([first, last] if last > first else [first])]
+
+
+def fit_calibration(scored: DataFrame, n_classes: int, label: str = "label_index", proba: str = "proba", cells: int = CALIBRATION_CELLS) -> DataFrame:
+    """Knots (class, x, y) of one isotonic curve per class, about ``cells`` a class at most, from ``calibration_cells``."""
+    def curve(key, rows):
+        import pandas as pd
+
+        rows = rows.sort_values("cell")
+        knots = pool_adjacent(rows["x"].tolist(), rows["y"].tolist(), rows["n"].tolist())
+        return pd.DataFrame({"class": [key[0]] * len(knots), "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
+
+    table = calibration_cells(scored, n_classes, label, proba, cells)
+    return table.groupBy("class").applyInPandas(curve, "class int, x double, y double")
 
 
 def score(df: DataFrame, model, features: list[str], row_id: str, knots: DataFrame | None = None) -> DataFrame:
