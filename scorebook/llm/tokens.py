@@ -32,7 +32,7 @@ LONGEST = 16
 BLOCK = 512
 CHUNK = 1 << 18
 #: Pieces and words whose ids a task keeps; when full, only those that came again stay.
-KEPT = 1_000_000
+KEPT = 200_000
 
 
 def _path(vocabulary: str | None) -> str:
