@@ -12,6 +12,7 @@ from registry.core import query
 from registry.lookup_queries import GRID, SENS, WE, levels, we_sql
 from scorebook.operators import boards, feeds, lookups as L, metrics as M, simstats as X
 from scorebook.operators import counts as C
+from scorebook.operators.bootstrap import bootstrap_exact
 from scorebook.operators.skyline import skyline
 from scorebook.plans import profiles as P
 
@@ -94,6 +95,12 @@ def bootstrap_sql(metric: str) -> str:
 query("d22_bootstrap_ci", bootstrap_sql("sum(w * score) / sum(w)"), doubles="mean ci_lower ci_upper std")(lambda spark, sf: M.bootstrap_ci(pred(spark, sf), "o_orderkey"))
 
 
+@query("d22_bootstrap_exact")
+def d22x(spark, sf):
+    """n of n rows in every replicate; the draws have no SQL, a test adds them up and repeats them."""
+    return bootstrap_exact(pred(spark, sf), "o_orderkey", {"score": M.row_brier()}, lambda s: s("score") / s("draws"))
+
+
 @query("j2_pluggable_metric", bootstrap_sql("sum(w * hit::INT)::DOUBLE / sum(w)"), doubles="mean ci_lower ci_upper std")
 def j2(spark, sf):
     """Accuracy instead of the default score: any weighted aggregate can be the metric."""

@@ -184,6 +184,26 @@ query("f7_most_files_first", f'SELECT n_files, count(*) AS tables FROM (SELECT c
     lambda spark, sf: T.fragmented(_files(spark, sf), min_files=10, small=1 << 40).groupBy("n_files").agg(F.count(F.lit(1)).alias("tables")).orderBy(F.desc("n_files")).limit(3))
 
 
+@query("a18_read_keys_pruned", f"SELECT * FROM ({ORD}) WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 90 = 7)", doubles="o_totalprice")
+def a18p(spark, sf):
+    path = fresh_path(spark, "by-key")
+    T.write_by_key(_orders(spark, sf), path, "o_custkey")
+    keys = roles.load(spark, sf, "customer").where("c_custkey % 90 = 7").select(F.col("c_custkey").alias("o_custkey"))
+    return T.read_keys(spark, path, keys, "o_custkey").select("o_orderkey", "o_custkey", "d", "o_totalprice")
+
+
+@query("a22_compaction_resumed", "SELECT count(*) AS n, sum(l_quantity) AS q, true AS fewer, 0::BIGINT AS batches_left FROM lineitem", doubles="q")
+def a22r(spark, sf):
+    """Stopped after its first batch, then taken up again."""
+    src, dst = fresh_path(spark, "fragments"), fresh_path(spark, "packed")
+    roles.load(spark, sf, "lineitem").repartition(60).write.parquet(src)
+    size = T.data_files(spark, src)[1]
+    T.run_compaction(spark, src, dst, size // 8, 16, most_batches=1)
+    done = T.run_compaction(spark, src, dst, size // 8, 16).first()
+    out = T.compacted(spark, src, dst).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    return out.withColumns({"fewer": F.lit(done.files_after < done.files_before / 3), "batches_left": F.lit(done.batches_left).cast("long")})
+
+
 @query("a22_compact", "SELECT count(*) AS n, sum(l_quantity) AS q, true AS fewer FROM lineitem", doubles="q")
 def a22(spark, sf):
     """Many small files become few; the rows stay."""

@@ -108,6 +108,49 @@ def restrict_keys(df: DataFrame, keys: DataFrame, key: str = "game_pk") -> DataF
     return df.join(keys.select(key), key, "left_semi")
 
 
+#: Keys that are looked up one by one; more are looked up by ranges.
+LISTED_KEYS = 1000
+KEY_RANGES = 64
+#: Values of one IN list that Spark hands to the Parquet reader as they are (its default); longer lists become their span.
+IN_LIST = 10
+
+
+def write_by_key(df: DataFrame, path: str, key: str = "game_pk", distinct_keys: int = 100_000, row_group_bytes: int | None = None) -> None:
+    """A table laid out for look-ups: files and row groups are ranges of the key and carry Bloom filters of it."""
+    writer = df.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists")
+    writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", distinct_keys)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
+
+
+def read_keys(spark: SparkSession, path: str, keys: DataFrame, key: str = "game_pk", listed: int = LISTED_KEYS) -> DataFrame:
+    """Rows of the listed keys of a table made by ``write_by_key``; files and row groups without any are not read.
+
+    Up to ``listed`` keys reach the reader as lists of ten, which it checks against spans and Bloom filters. More
+    keys are cut into ``KEY_RANGES`` ranges; the reader skips what lies between these, and a join takes the rest.
+    """
+    wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    some = sorted(r[0] for r in wanted.limit(listed + 1).collect())
+    table = spark.read.parquet(path)
+    if not some:
+        return table.limit(0)
+    if len(some) <= listed:
+        return table.where(_any([F.col(key).isin(some[i : i + IN_LIST]) for i in range(0, len(some), IN_LIST)]))
+    shares = F.array(*[F.lit(i / KEY_RANGES) for i in range(1, KEY_RANGES)])
+    cuts = wanted.agg(F.percentile_approx(key, shares, 1000)).first()[0]
+    slot = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(key)))
+    spans = wanted.groupBy(slot.alias("slot")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    return table.where(_any([F.col(key).between(r.lo, r.hi) for r in spans])).join(wanted, key, "left_semi")
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Joined by OR as a balanced tree, so that many of them do not nest deeply."""
+    while len(conditions) > 1:
+        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2])] + (conditions[-1:] if len(conditions) % 2 else [])
+    return conditions[0]
+
+
 def delete_insert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Target without the keys present in ``new``, plus ``new``."""
     kept = target.join(new.select(*keys).distinct(), keys, "left_anti")
@@ -216,6 +259,87 @@ def fragmented(files: DataFrame, min_files: int = MIN_FILES, small: int = SMALL_
     ).orderBy(F.col("n_files").desc(), "table")
 
 
+#: Small files of one batch, which is committed as a whole.
+BATCH_FILES = 1000
+
+
+def first_fit(lengths: list[int], target: int) -> list[int]:
+    """Bin of every length: the first with room for it, in the order given; one that is as long as ``target`` fills a bin."""
+    import numpy as np
+
+    room, n, out = np.full(max(1, len(lengths)), target, np.int64), 0, []
+    for x in lengths:
+        fits = np.flatnonzero(room[:n] >= x)
+        at = int(fits[0]) if len(fits) else n
+        n = max(n, at + 1)
+        room[at] -= x
+        out.append(at)
+    return out
+
+
+def compaction_plan(files: DataFrame, target_bytes: int = TARGET_BYTES, batch_files: int = BATCH_FILES) -> DataFrame:
+    """table, batch, bin, path, length: which small files become one file of at most ``target_bytes``, and which of these are one batch.
+
+    Files are packed first-fit, the longest first; a file that fills half a target or more, or that finds no
+    other, stays as it is and is not in the plan. A batch takes bins until it has ``batch_files`` files.
+    """
+    small = files.where(F.col("length") * 2 < target_bytes).select("table", "path", "length")
+
+    def packed(key, rows):
+        rows = rows.sort_values(["length", "path"], ascending=[False, True]).reset_index(drop=True)
+        rows["bin"] = first_fit(rows["length"].tolist(), target_bytes)
+        sizes = rows.groupby("bin")["path"].transform("size")
+        rows = rows[sizes > 1]
+        per = rows.groupby("bin")["path"].size()
+        batch, have, of = 0, 0, {}
+        for b, n in per.items():
+            if have and have + n > batch_files:
+                batch, have = batch + 1, 0
+            of[b], have = batch, have + n
+        return rows.assign(batch=rows["bin"].map(of).astype("int64"))[["table", "batch", "bin", "path", "length"]]
+
+    return small.groupBy("table").applyInPandas(packed, "table string, batch long, bin long, path string, length long")  # a listing, not the data
+
+
+def run_compaction(spark: SparkSession, src: str, dst: str, target_bytes: int = TARGET_BYTES, batch_files: int = BATCH_FILES, most_batches: int | None = None) -> DataFrame:
+    """Packs the small files of the table at ``src`` into new ones below ``dst``; returns counts before and after.
+
+    The plan is written first, then batch by batch: each is one job, a task and a file a bin, and counts once its
+    own ``_SUCCESS`` exists. A run that was stopped is taken up by the next call, which does only what is
+    missing, by the plan that is there. ``src`` is not changed; ``compacted`` reads the result.
+    """
+    plan_path = f"{dst}/plan"
+    if not exists(spark, f"{plan_path}/_SUCCESS"):
+        compaction_plan(list_files(spark, src).withColumn("table", F.lit(src)), target_bytes, batch_files).write.mode("overwrite").parquet(plan_path)
+    plan = spark.read.parquet(plan_path)
+    schema = spark.read.parquet(src).schema
+    batches = [r.batch for r in plan.select("batch").distinct().orderBy("batch").collect()]
+    missing = [b for b in batches if not exists(spark, f"{dst}/batches/b={b:06d}/_SUCCESS")]
+    for b in missing[:most_batches]:
+        bins = plan.where(F.col("batch") == b).groupBy("bin").agg(F.collect_list("path").alias("paths")).orderBy("bin").collect()
+        parts = [spark.read.schema(schema).parquet(*r.paths).coalesce(1) for r in bins]
+        while len(parts) > 1:
+            parts = [x.union(y) for x, y in zip(parts[::2], parts[1::2])] + (parts[-1:] if len(parts) % 2 else [])
+        parts[0].write.mode("overwrite").parquet(f"{dst}/batches/b={b:06d}")
+    n, size = data_files(spark, src)
+    packed = plan.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("bin").alias("bins")).first()
+    return spark.createDataFrame([(n, size, n - packed.files + packed.bins, len(batches), len(missing) - len(missing[:most_batches]))],
+                                 "files_before long, bytes_before long, files_after long, batches long, batches_left long")
+
+
+def compacted(spark: SparkSession, src: str, dst: str) -> DataFrame:
+    """The table after ``run_compaction``: the new files and those that stayed. An unfinished compaction is an error."""
+    plan, schema = spark.read.parquet(f"{dst}/plan"), spark.read.parquet(src).schema
+    batches = [r.batch for r in plan.select("batch").distinct().collect()]
+    left = [b for b in batches if not exists(spark, f"{dst}/batches/b={b:06d}/_SUCCESS")]
+    if left:
+        raise ValueError(f"{len(left)} of {len(batches)} batches are missing in {dst}")
+    stay = [r.path for r in list_files(spark, src).join(plan, "path", "left_anti").collect()]
+    out = [spark.read.schema(schema).parquet(*stay)] if stay else []
+    out += [spark.read.schema(schema).parquet(*[f"{dst}/batches/b={b:06d}" for b in sorted(batches)])] if batches else []
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Rewrite small files into files of about ``target_bytes``; returns counts before and after.
 
