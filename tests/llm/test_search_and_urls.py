@@ -53,6 +53,24 @@ def test_top_k_against_brute_force(spark):
     assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got.collect()) == brute_bm25(docs, some, 7)
 
 
+def test_like_documents_become_neighbours():
+    """Documents of four kinds in turn: in the order of a shard each kind is one run, and its blocks hold one kind each."""
+    rng = np.random.default_rng(2)
+    text = np.repeat(np.arange(256), 50)
+    word = np.where(rng.random(len(text)) < 0.4, text % 4, 10 + 100 * (text % 4) + rng.integers(0, 90, len(text)))
+    term, starts, doc, tf = search.counted(text, word)
+    order, new, tf2 = search.ordered(starts, doc, tf, np.full(256, 50))
+    assert (np.diff(order % 4) != 0).sum() == 3 and sorted(order) == list(range(256))
+    ends = np.append(starts[1:], len(doc))
+    for a, b in zip(starts, ends):
+        assert (np.diff(new[a:b]) > 0).all() and dict(zip(order[new[a:b]], tf2[a:b])) == dict(zip(doc[a:b], tf[a:b]))
+
+    def blocks(d):
+        return sum(len(np.unique(d[a:b] // search.BLOCK_DOCS)) for a, b in zip(starts, ends))
+
+    assert blocks(new) < 0.4 * blocks(doc)
+
+
 def test_top_k_edge_cases(spark, tricky, nothing):
     index = search.build_index(tricky)
     rows = search.top_k(index, tricky.where("doc_id % 100 = 0 or doc_id in (2, 4, 5)")).collect()
