@@ -37,8 +37,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "score
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder below the warehouse."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; on a local master also a folder below the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
