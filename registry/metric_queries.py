@@ -195,18 +195,20 @@ def d32(spark, sf):
     return X.gamma_schedule(roles.convergence(spark, sf), L.we_sensitivity(L.we_grid(levels(spark, sf))))
 
 
-ERR = ("SELECT concat(CAST(g.entry_inning AS VARCHAR), '|', g.entry_rd_bucket) AS state_key, h.game_pk, CAST(substr(h.horizon, 2, length(h.horizon) - 3) AS INTEGER) AS hz, h.pred_we, CAST(g.actual_home_win AS INTEGER)::DOUBLE AS y, g.entry_we_baseline AS e "
-       "FROM eval_horizons h JOIN eval_games g ON h.eval_id = g.eval_id AND h.game_pk = g.game_pk WHERE h.eval_id = 'run1' AND h.horizon LIKE '+%hi' AND h.pred_we IS NOT NULL")
+ERR = ("SELECT concat(CAST(g.entry_inning AS VARCHAR), '|', g.entry_rd_bucket, '@', g.eval_id) AS state_key, h.game_pk, CAST(substr(h.horizon, 2, length(h.horizon) - 3) AS INTEGER) AS hz, h.pred_we, CAST(g.actual_home_win AS INTEGER)::DOUBLE AS y, g.entry_we_baseline AS e "
+       "FROM eval_horizons h JOIN eval_games g ON h.eval_id = g.eval_id AND h.game_pk = g.game_pk WHERE h.horizon LIKE '+%hi' AND h.pred_we IS NOT NULL")
 ELIG = ("SELECT state_key, hz FROM (SELECT *, first_value(eb) OVER (PARTITION BY state_key ORDER BY hz) AS entry FROM (SELECT *, row_number() OVER (PARTITION BY state_key ORDER BY hz) AS r FROM (SELECT state_key, hz, count(*) AS n, avg(power(pred_we - y, 2)) AS b, "
         "avg(power(e - y, 2)) AS eb FROM err GROUP BY ALL)) JOIN (SELECT state_key FROM err GROUP BY ALL HAVING count(DISTINCT game_pk) >= 5) USING (state_key) WHERE r <= 15 AND n >= 5) WHERE b < entry")
 
 
-def _run1(spark, sf):
-    return (roles.eval_horizons(spark, sf).where("eval_id = 'run1'"), roles.eval_games(spark, sf).where("eval_id = 'run1'"))
+def _all_runs(spark, sf):
+    """All runs, each with states of its own."""
+    games = roles.eval_games(spark, sf).withColumn("entry_rd_bucket", F.concat("entry_rd_bucket", F.lit("@"), "eval_id"))
+    return roles.eval_horizons(spark, sf), games
 
 
-query("d33_eligible_horizons", roles.with_ctes(EH, ELIG, {"err": ERR}))(lambda spark, sf: X.eligible_horizons(X.horizon_errors(*_run1(spark, sf)), min_games=5))
-query("d33_horizon_weights")(lambda spark, sf: X.horizon_weights(*_run1(spark, sf), min_games=5))
+query("d33_eligible_horizons", roles.with_ctes(EH, ELIG, {"err": ERR}))(lambda spark, sf: X.eligible_horizons(X.horizon_errors(*_all_runs(spark, sf)), min_games=5))
+query("d33_horizon_weights")(lambda spark, sf: X.horizon_weights(*_all_runs(spark, sf), min_games=5))
 
 query("d34_weighted_estimate", roles.with_ctes(["paths", "outcomes", "weights"], "SELECT game_pk, count(*) AS n_sims, avg(e) AS p_home_win, stddev_samp(e) / sqrt(count(*)) AS p_home_win_se FROM (SELECT o.game_pk, o.sim_id, greatest(0, least(1, sum(w.weight * "
       "CASE WHEN p.we >= 0 THEN p.we ELSE CAST(o.home_won AS INTEGER)::DOUBLE END))) AS e FROM outcomes o JOIN weights w USING (state_key) LEFT JOIN paths p ON p.game_pk = o.game_pk AND p.sim_id = o.sim_id AND p.horizon = w.hz GROUP BY o.game_pk, o.sim_id) GROUP BY game_pk"),

@@ -250,8 +250,15 @@ def _log_counts(df):
     return df.groupBy("game_date", "game_pk").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), F.max("response_ms").alias("top"))
 
 
-@query("a25_read_poll_logs", f"SELECT * FROM ({LOG_SQL}) WHERE game_date <= '2024-01-15' AND game_pk = 3", doubles="top", digits=4)
+@query("a25_read_poll_logs", f"SELECT game_pk, count(*) AS days, CAST(sum(n) AS BIGINT) AS n, CAST(sum(errors) AS BIGINT) AS errors, max(top) AS top FROM ({LOG_SQL}) GROUP BY game_pk", doubles="top", digits=4)
 def a25(spark, sf):
+    """Date and game come from the path."""
+    return _log_counts(_written_logs(spark, sf)).groupBy("game_pk").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.max("top").alias("top"))
+
+
+@query("a25_read_poll_logs_pruned", f"SELECT * FROM ({LOG_SQL}) WHERE game_date <= '2024-01-15' AND game_pk = 3", doubles="top", digits=4)
+def a25p(spark, sf):
     """Folders of other dates and games are not read."""
     return _log_counts(_written_logs(spark, sf).where("game_date <= '2024-01-15' AND game_pk = 3"))
 
