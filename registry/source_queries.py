@@ -372,14 +372,18 @@ STEPS = {
 }
 
 
+POLL_FILES = 4
+
+
 def poll_stream(spark, sf):
-    """The events table landing as several files in order of time, one per micro-batch, in the role of polls."""
+    """The events table landing in four ranges of time, ``POLL_FILES`` files each, one range per micro-batch, in the role of polls."""
     events, path = roles.load(spark, sf, "events"), fresh_path(spark, "landing")
     cuts = events.agg(F.percentile_approx("ts", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]), 1000).alias("c")).first().c
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = events if lo is None else events.where(F.col("ts") > F.lit(lo))
-        (part if hi is None else part.where(F.col("ts") <= F.lit(hi))).coalesce(1).write.mode("append").parquet(path)
-    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = part if hi is None else part.where((F.col("ts") <= F.lit(hi)) | (F.col("ts").isNull() if lo is None else F.lit(False)))
+        part.repartitionByRange(POLL_FILES, "ts", "event_id").write.mode("append").parquet(path)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", POLL_FILES).parquet(path)
     return roles._apply(raw, roles.poll_steps(roles.Spark))
 
 
