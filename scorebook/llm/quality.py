@@ -2,7 +2,8 @@
 
 Bytes are embedded, filters of eight bytes slide over chunks that overlap by half and cover the whole text,
 each filter is max-pooled in a chunk, and mean, maximum and minimum over the chunks go through one logistic
-layer. Two neighbouring bytes are looked up at once, so a filter is four table rows added up.
+layer. A filter starts at every byte. Two neighbouring bytes are looked up at once, so a filter is four table
+rows added up.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 
 from scorebook.llm.common import map_rows, narrow, slices, text_bytes
 
-WIDTH, STRIDE, HALF = 8, 2, 128
-STEPS = HALF // STRIDE
+WIDTH, HALF = 8, 128
 EMBED, FILTERS = 8, 24
-#: Bounded training sample: labelled rows of each class, and evenly spaced half chunks of a long text.
+#: Bounded training sample: labelled rows of each class, with their whole texts.
 SAMPLE_ROWS = 800
-SAMPLE_HALVES = 16
 EPOCHS = 12
 SEED = 5
 SLICE = 1 << 19
+#: Half chunks whose activations are held at once.
+AT_ONCE = 2048
 
 
 @dataclass
@@ -57,15 +58,15 @@ def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pooled(buf: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """Largest activation of each filter in every half chunk (windows that start in it)."""
-    pairs = buf.view("<u2")
-    n = (len(buf) - WIDTH) // STRIDE
-    out = np.empty((n // STEPS, tables[0].shape[1]), np.float32)
-    for lo in range(0, n, STEPS * 64):
-        hi = min(n, lo + STEPS * 64)
+    pairs = buf[:-1] | buf[1:].astype(np.uint16) << 8
+    n = len(buf) - WIDTH
+    out = np.empty((n // HALF, tables[0].shape[1]), np.float32)
+    for lo in range(0, n, HALF * 32):
+        hi = min(n, lo + HALF * 32)
         y = tables[0][pairs[lo:hi]]
         for j, t in enumerate(tables[1:], 1):
-            y += t[pairs[lo + j : hi + j]]
-        out[lo // STEPS : hi // STEPS] = y.reshape(-1, STEPS, y.shape[1]).max(axis=1)
+            y += t[pairs[lo + 2 * j : hi + 2 * j]]
+        out[lo // HALF : hi // HALF] = y.reshape(-1, HALF, y.shape[1]).max(axis=1)
     return np.maximum(out, 0)
 
 
@@ -82,57 +83,68 @@ def combined(half: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def probabilities(net: Net, tables: list[np.ndarray], texts: pa.Array) -> np.ndarray:
     buf, first = padded(*text_bytes(texts))
-    z = combined(pooled(buf, tables), first).astype(np.float64) @ net.out + net.out_bias
+    # Row by row, so that a text's score does not depend on its neighbours.
+    z = (combined(pooled(buf, tables), first).astype(np.float64) * net.out).sum(axis=1) + net.out_bias
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean weighted logistic loss of some texts and its gradients; they pass only the windows that won a pooling."""
+    buf, first = padded(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    emb, w = p["embed"], p["filters"].reshape(WIDTH, EMBED, -1)
+    filters, steps = w.shape[2], np.arange(WIDTH)
+    per = [emb @ x for x in w]
+    n = (len(buf) - WIDTH) // HALF
+    raw, won = np.empty((n, filters), emb.dtype), np.empty((n, filters), np.int64)
+    for lo in range(0, n, AT_ONCE):
+        hi = min(n, lo + AT_ONCE)
+        act = (per[0] + p["bias"])[buf[lo * HALF : hi * HALF]]
+        for j in range(1, WIDTH):
+            act += per[j][buf[lo * HALF + j : hi * HALF + j]]
+        act = act.reshape(-1, HALF, filters)
+        won[lo:hi] = act.argmax(axis=1) + np.arange(lo, hi)[:, None] * HALF  # byte where the winning window starts
+        raw[lo:hi] = act.max(axis=1)
+    half = np.maximum(raw, 0)
+    feats = combined(half, first)
+    z = feats @ p["out"] + p["out_bias"]
+    d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / len(texts)
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).mean())
+    g = {"out": feats.T @ d, "out_bias": np.array([d.sum()])}
+    dh, up = np.zeros_like(half), d[:, None] * p["out"]
+    cols = np.arange(filters)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        b = max(a + 1, b - 2)
+        left = half[a:b] >= half[a + 1 : b + 1]
+        c = np.where(left, half[a:b], half[a + 1 : b + 1])
+        dc = np.tile(up[i, :filters] / (b - a), (b - a, 1))
+        dc[c.argmax(axis=0), cols] += up[i, filters : 2 * filters]
+        dc[c.argmin(axis=0), cols] += up[i, 2 * filters :]
+        dh[a:b] += dc * left
+        dh[a + 1 : b + 1] += dc * ~left
+    dh *= raw > 0
+    g["bias"] = dh.sum(axis=0)
+    byte = buf[won[:, :, None] + steps]  # half chunk, filter, byte of the window
+    # What each byte, at each place of each filter, passes back.
+    slot = (byte.astype(np.int64) * WIDTH + steps) * filters + cols[None, :, None]
+    got = np.bincount(slot.ravel(), weights=np.repeat(dh.ravel(), WIDTH), minlength=256 * WIDTH * filters).reshape(256, WIDTH, filters)
+    g["embed"] = np.einsum("bkf,kef->be", got, w, optimize=True)
+    g["filters"] = np.einsum("bkf,be->kef", got, emb, optimize=True).reshape(WIDTH * EMBED, filters)
+    return loss, g
+
+
 def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, batch: int = 32) -> Net:
-    """Adam on the weighted logistic loss; gradients pass only the windows that won a pooling."""
+    """Adam on the weighted logistic loss."""
     rng = np.random.default_rng(seed)
     p = {"embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)),
          "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, 3 * FILTERS), "out_bias": np.zeros(1)}
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    steps, total = np.arange(WIDTH), epochs * -(-len(texts) // batch)
+    total = epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             ids = order[lo : lo + batch]
-            off = np.concatenate(([0], np.cumsum([len(texts[i]) for i in ids])))
-            buf, first = padded(np.frombuffer(b"".join(texts[i] for i in ids), np.uint8), off)
-            n = (len(buf) - WIDTH) // STRIDE
-            emb = p["embed"].astype(np.float32)
-            w = p["filters"].astype(np.float32).reshape(WIDTH, EMBED, FILTERS)
-            act = (emb @ w[0] + p["bias"].astype(np.float32))[buf[: STRIDE * n : STRIDE]]
-            for j in range(1, WIDTH):
-                act += (emb @ w[j])[buf[j : j + STRIDE * n : STRIDE]]
-            act = act.reshape(-1, STEPS, FILTERS)
-            won = act.argmax(axis=1) * STRIDE + np.arange(len(act))[:, None] * HALF  # byte where the winning window starts
-            raw = act.max(axis=1)
-            half = np.maximum(raw, 0)
-            feats = combined(half, first)
-            z = feats @ p["out"] + p["out_bias"]
-            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[ids]) * weight[ids] / len(ids)
-            g = {"out": feats.T @ d, "out_bias": np.array([d.sum()])}
-            dh, up = np.zeros_like(half), d[:, None] * p["out"]
-            cols = np.arange(FILTERS)
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                b = max(a + 1, b - 2)
-                left = half[a:b] >= half[a + 1 : b + 1]
-                c = np.where(left, half[a:b], half[a + 1 : b + 1])
-                dc = np.tile(up[i, :FILTERS] / (b - a), (b - a, 1))
-                dc[c.argmax(axis=0), cols] += up[i, FILTERS : 2 * FILTERS]
-                dc[c.argmin(axis=0), cols] += up[i, 2 * FILTERS :]
-                dh[a:b] += dc * left
-                dh[a + 1 : b + 1] += dc * ~left
-            dh *= raw > 0
-            g["bias"] = dh.sum(axis=0)
-            at = won[:, :, None] + steps  # half chunk, filter, byte of the window
-            byte = buf[at]
-            # what each byte, at each place of each filter, passes back
-            slot = (byte.astype(np.int64) * WIDTH + steps) * FILTERS + cols[None, :, None]
-            got = np.bincount(slot.ravel(), weights=np.repeat(dh.ravel(), WIDTH), minlength=256 * WIDTH * FILTERS).reshape(256, WIDTH, FILTERS)
-            g["embed"] = np.einsum("bkf,kef->be", got, w, optimize=True)
-            g["filters"] = np.einsum("bkf,be->kef", got, emb, optimize=True).reshape(WIDTH * EMBED, FILTERS)
+            small = {k: x.astype(np.float32) if k in ("embed", "filters", "bias") else x for k, x in p.items()}
+            _, g = loss_and_gradients(small, [texts[i] for i in ids], y[ids], weight[ids])
             t += 1
             rate = 0.01 * (1 - (t - 1) / total) + 0.0005
             for k in p:
@@ -142,28 +154,17 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = EPO
     return Net(p["embed"].astype(np.float32), p["filters"].astype(np.float32), p["bias"].astype(np.float32), p["out"], float(p["out_bias"][0]))
 
 
-def sample_of(text: str | None, halves: int = SAMPLE_HALVES) -> bytes:
-    """A text as it is trained on: whole, or evenly spaced runs of half chunks if it is longer."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    if len(data) <= halves * HALF:
-        return data
-    runs = halves // 4
-    starts = np.linspace(0, len(data) // HALF - 4, runs).astype(int) * HALF
-    return b"".join(data[s : s + 4 * HALF] for s in starts.tolist())
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, seed: int = SEED) -> Net | None:
     """Fits the net on at most ``rows`` labelled rows of each class, the first in order of a hash of the id.
 
-    Each class counts by its share of all labelled rows. The driver holds that sample, at most
-    ``SAMPLE_HALVES`` half chunks a row. None if there is nothing to learn from.
+    Each class counts by its share of all labelled rows. The driver holds that sample with its whole texts.
+    None if there is nothing to learn from.
     """
-    cut = F.udf(lambda t: sample_of(t), "binary")
     shares = {r.quality: r["count"] for r in labels.where("quality in (0, 1)").groupBy("quality").count().collect()}
     texts, y = [], []
     for q in sorted(shares):
         picked = labels.where(F.col("quality") == q).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        got = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", cut("text").alias("t"))
+        got = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
         got = sorted((r.doc_id, bytes(r.t)) for r in got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect())
         texts += [t for _, t in got]
         y += [q] * len(got)

@@ -63,7 +63,7 @@ def test_convolution_against_plain_loops():
         chunks = []
         for c in range(max(1, halves - 1)):
             acts = [net.embed[buf[p : p + quality.WIDTH]].ravel() @ net.filters + net.bias
-                    for p in range(c * quality.HALF, (c + 2) * quality.HALF, quality.STRIDE)]
+                    for p in range(c * quality.HALF, (c + 2) * quality.HALF)]
             chunks.append(np.maximum(np.max(acts, axis=0), 0))
         x = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)])
         want = 1 / (1 + np.exp(-np.clip(x @ net.out + net.out_bias, -40, 40)))
@@ -71,6 +71,35 @@ def test_convolution_against_plain_loops():
         assert got == pytest.approx(want, rel=1e-3, abs=1e-6)
 
 
+def test_gradients_against_finite_differences(monkeypatch):
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    f = 5
+    p = {"embed": rng.normal(0, 0.5, (256, quality.EMBED)), "filters": rng.normal(0, 0.3, (quality.WIDTH * quality.EMBED, f)),
+         "bias": rng.normal(0, 0.1, f), "out": rng.normal(0, 0.5, 3 * f), "out_bias": np.zeros(1)}
+    texts, y, w = [b"", b"short", bytes(rng.integers(0, 256, 900)), b"abcd" * 100, b"x" * 3000], np.array([0.0, 1, 1, 0, 1]), np.array([1.0, 2, 0.5, 1, 3])
+    monkeypatch.setattr(quality, "combined", _combined64)
+    loss, g = quality.loss_and_gradients(p, texts, y, w)
+    for name in p:
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in p[name].shape)
+            if name == "embed":
+                at = (int(rng.choice(list(b"abcdx"))), at[1])
+            moved = {k: v.copy() for k, v in p.items()}
+            moved[name][at] += 1e-6
+            up = quality.loss_and_gradients(moved, texts, y, w)[0]
+            assert (up - loss) / 1e-6 == pytest.approx(g[name][at], rel=1e-3, abs=1e-6)
+
+
+def _combined64(half, first):
+    """As ``quality.combined``, in doubles."""
+    chunk, out = np.maximum(half[:-1], half[1:]), []
+    for a, b in zip(first[:-1], first[1:]):
+        c = chunk[a : max(a + 1, b - 2)]
+        out.append(np.concatenate([c.mean(axis=0), c.max(axis=0), c.min(axis=0)]))
+    return np.array(out)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
