@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.llm.common import map_rows, narrow, slices, spare
@@ -172,15 +172,19 @@ class Items:
                     at = body.find(want, at + 1)
                 if at >= 0:
                     hits[t].add(self.ids[item])
-        return [sorted(h) for h in hits]
+        return [_ordered(h) for h in hits]
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[DataFrame]:
-    """Items in blocks of about ``limit`` bytes."""
-    items = narrow(benchmark, item_id=id_col, item=text_col).where("item_id is not null and item is not null").select(F.col("item_id").cast("long"), "item")
-    size = F.sum(F.octet_length("item") + 64).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    items = items.withColumn("block", F.floor(size / limit))
-    return [items.where(F.col("block") == r.block) for r in items.select("block").distinct().orderBy("block").collect()]
+    """Items in blocks of about ``limit`` bytes, dealt by a hash."""
+    items = narrow(benchmark, item_id=id_col, item=text_col).where("item is not null").select(F.col("item_id").cast("long").alias("item_id"), "item")
+    blocks = -(-(items.agg(F.sum(F.octet_length("item") + 64)).first()[0] or 0) // limit)
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item"), F.lit(max(1, blocks))))
+    return [items.where(F.col("block") == b) for b in range(blocks)]
+
+
+def _ordered(ids) -> list:
+    return sorted(ids, key=lambda i: (i is None, i or 0))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "items",
@@ -189,8 +193,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
 
     An item of n characters occurs if at most ``rate`` n edits turn it into a run of the text, case and kind of
     white space aside (fewer edits for items so short that q-grams could not show them; none below q
-    characters). Null texts hold nothing; null and empty items and items with a null id never occur; items that
-    repeat are all reported. An empty table gives an empty result, an empty benchmark empty arrays.
+    characters). Null texts hold nothing; null and empty items never occur; an item without an id is reported as a
+    null at the end; items that repeat are all reported. An empty table gives an empty result, an empty benchmark empty arrays.
     """
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
@@ -206,7 +210,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
                 for part in slices(b, at):
                     found = items.found([t or "" for t in part.column(at).to_pylist()])
                     old = part.column(part.num_columns - 1).to_pylist()
-                    new = pa.array([sorted({*o, *f}) for o, f in zip(old, found)], pa.list_(pa.int64()))
+                    new = pa.array([_ordered({*o, *f}) for o, f in zip(old, found)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], new], b.schema.names)
 
         df = map_rows(df, scan)
