@@ -16,6 +16,10 @@ from scorebook.sources.tables import staged
 CELLS = 6
 #: Rows of partial skylines that a task holds before it sends them on.
 HELD = 200_000
+#: Rows that a task cuts into groups at once, and the least of one group among them worth reducing before they are sent on.
+CHUNK, WORTH = 100_000, 32
+#: Partial skylines of up to so many rows in all are finished as one group; longer ones by a grid.
+WHOLE = 10_000
 #: Numbers compared at once.
 AT_ONCE = 4_000_000
 
@@ -54,22 +58,44 @@ def _batch(groups: list, parts: list[np.ndarray], keys: list[str], costs: list[s
 
 
 def _partial(costs: list[str]):
-    """Skylines of the groups of a task, sent on whenever ``HELD`` rows are held: fewer rows, the same skyline."""
+    """Skylines of the groups of a task, a chunk at a time: fewer rows, the same skyline.
+
+    Groups with few rows in a chunk are sent on as they are; the others are held and sent whenever ``HELD`` rows are held.
+    """
+    def cut(rows: pa.Table, held: dict) -> pa.RecordBatch:
+        codes = rows.column("__g").combine_chunks().dictionary_encode()
+        at, names = codes.indices.to_numpy(), codes.dictionary
+        points = np.stack([rows.column(c).to_numpy() for c in costs], axis=1)
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at, minlength=len(names)))
+        few = np.ones(len(at), bool)
+        for i in np.flatnonzero(np.diff(ends, prepend=0) >= WORTH).tolist():
+            of = order[ends[i - 1] if i else 0 : ends[i]]
+            few[of] = False
+            g = names[i].as_py()
+            held[g] = front(points[of], held.get(g))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(at[few])), *(pa.array(points[few, i]) for i in range(len(costs)))], ["__g", *costs])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, schema = {}, 0, None
-        for b in it:
-            schema, points = b.schema, _columns(b, costs)
-            codes = b.column("__g").dictionary_encode()
-            at = codes.indices.to_numpy()
-            for i, g in enumerate(codes.dictionary.to_pylist()):
-                old = held.get(g)
-                held[g] = front(points[at == i], old)
-                size += len(held[g]) - (len(old) if old is not None else 0)
-            if size > HELD:
+        held, kept, size, schema = {}, [], 0, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if held:
                 yield _batch([(g,) for g in held], list(held.values()), ["__g"], costs, schema)
-                held, size = {}, 0
-        if held:
-            yield _batch([(g,) for g in held], list(held.values()), ["__g"], costs, schema)
+                held.clear()
+
+        for b in it:
+            schema = b.schema
+            kept.append(b)
+            size += b.num_rows
+            if size >= CHUNK:
+                yield cut(pa.Table.from_batches(kept), held)
+                kept, size = [], 0
+                if sum(map(len, held.values())) > HELD:
+                    yield from sent()
+        if size:
+            yield cut(pa.Table.from_batches(kept), held)
+        yield from sent()
 
     return run
 
@@ -123,16 +149,27 @@ def skyline(df: DataFrame, costs: list[str], by: list[str] = (), cells: int = CE
     Equal rows stay together; a row with an unknown cost beats none and is beaten by none; rows without a group
     value are a group. Costs are compared as doubles.
 
-    Tasks send on partial skylines only. What is left is laid into a grid cut at quantiles: a cell with another
-    cell below it in every direction is dropped as a whole, every other cell is reduced to its own skyline, and
-    these are compared with the cells that lie nowhere above, never with all rows.
+    Tasks send on partial skylines of groups with many rows in them. A group of which up to ``WHOLE`` rows are left is
+    finished by one task. More are laid into a grid cut at quantiles: a cell with another cell below it in every
+    direction is dropped as a whole, every other cell is reduced to its own skyline, and these are compared with the
+    cells that lie nowhere above, never with all rows.
     """
-    k, names = len(costs), [f"__x{i}" for i in range(len(costs))]
+    names = [f"__x{i}" for i in range(len(costs))]
     group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     marked = df.withColumns({"__g": group, **{n: F.col(c).cast("double") for n, c in zip(names, costs)}})
     known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
     fields = ", ".join(f"{n} double" for n in names)
     points = staged(marked.where(known).select("__g", *names).mapInArrow(_partial(names), f"__g string, {fields}"), "skyline")
+    large = staged(points.groupBy("__g").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > WHOLE).select("__g"), "skyline-large")
+    small = points.join(large, "__g", "left_anti").repartition("__g").sortWithinPartitions("__g").mapInArrow(_per_cell(["__g"], names), f"__g string, {fields}")
+    best = small if large.isEmpty() else small.unionByName(_by_grid(points.join(large, "__g", "left_semi"), names, fields, cells))
+    kept = marked.where(known).join(best, ["__g", *names], "left_semi").select(*df.columns)
+    return kept.unionByName(marked.where(~known).select(*df.columns))
+
+
+def _by_grid(points: DataFrame, names: list[str], fields: str, cells: int) -> DataFrame:
+    """Skylines of groups with many points, by cells."""
+    k = len(names)
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
     cuts = points.agg(*[F.percentile_approx(n, shares, 1000).alias(n) for n in names]).first()
     place = lambda n: F.size(F.filter(F.lit(cuts[n] or [0.0]), lambda c: c < F.col(n)))
@@ -151,6 +188,4 @@ def skyline(df: DataFrame, costs: list[str], by: list[str] = (), cells: int = CE
     targets = alive.select("__g", text("cell").alias("at"), F.explode("above").alias("target")).select("__g", "at", text("target").alias("target"))
     sent = own.join(targets, ["__g", "at"]).select("__g", F.col("target").alias("at"), F.lit(False).alias("own"), *names)
     both = own.select("__g", "at", F.lit(True).alias("own"), *names).union(sent)
-    best = both.repartition("__g", "at").sortWithinPartitions("__g", "at", "own").mapInArrow(_unbeaten(["__g", "at"], names), f"__g string, at string, {fields}").drop("at")
-    kept = marked.where(known).join(best, ["__g", *names], "left_semi").select(*df.columns)
-    return kept.unionByName(marked.where(~known).select(*df.columns))
+    return both.repartition("__g", "at").sortWithinPartitions("__g", "at", "own").mapInArrow(_unbeaten(["__g", "at"], names), f"__g string, at string, {fields}").drop("at")

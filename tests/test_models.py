@@ -29,6 +29,19 @@ def test_skyline_brute_force(spark, monkeypatch, k, span, cells):
     assert skyline.skyline(df.limit(0), names, ["g"]).count() == 0
 
 
+@pytest.mark.parametrize("whole, worth, chunk", [(0, 1, 50), (40, 8, 100), (10_000, 32, 100_000)])
+def test_skyline_groups_of_all_sizes(spark, monkeypatch, whole, worth, chunk):
+    for name, value in (("WHOLE", whole), ("WORTH", worth), ("CHUNK", chunk), ("HELD", 20)):
+        monkeypatch.setattr(skyline, name, value)
+    if whole == 10_000:  # many small groups: none is worth a grid
+        monkeypatch.setattr(skyline, "_by_grid", None)
+    rng = random.Random(whole)
+    points = [(f"s{g}", *(rng.randrange(9) for _ in range(3))) for g in range(60) for _ in range(rng.randrange(12))]
+    points += [("hot", a, b, 60 - a - b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(200))]
+    df = spark.createDataFrame(points, "g string, c0 int, c1 int, c2 int").repartition(3)
+    assert sorted((tuple(r) for r in skyline.skyline(df, ["c0", "c1", "c2"], ["g"], 3).collect()), key=str) == brute_skyline(points)
+
+
 def test_skyline_never_pairs_the_table_with_itself(spark):
     df = spark.range(1000).selectExpr("id", "id % 37 AS a", "id % 31 AS b", "id % 29 AS c")
     plan = skyline.skyline(df, ["a", "b", "c"])._jdf.queryExecution().toString()
