@@ -422,7 +422,7 @@ def i10(spark, sf):
     path = fresh_path(spark, "series")
     q = live.append_results(poll_stream(spark, sf).select("game_pk", "event_id", "response_ms"), f"{path}/data", f"{path}/checkpoint").start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/data").groupBy(F.col("game_pk").cast("long").alias("game_pk")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    return live.read_results(spark, f"{path}/data").groupBy("game_pk").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
 
 
 query("i11_expire", roles.with_ctes(["games"], "SELECT game_pk, abstract_game_state FROM games WHERE NOT (abstract_game_state = 'Final' AND epoch(TIMESTAMP '2019-06-01 18:00:00' - game_datetime) > 43200)"))(

@@ -132,12 +132,31 @@ def keyset_sink(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame
     return run
 
 
-def append_results(stream: DataFrame, path: str, checkpoint: str, key: str = "game_pk"):
-    """Append-only result series, one folder per key (exactly once, by the file sink's log)."""
-    return (stream.writeStream.format("parquet").outputMode("append").partitionBy(key)
+#: Folders of an append-only result series. A key lies in one of them, so that files do not grow with the number of keys.
+RESULT_FOLDERS = 32
+
+
+def _result_folder(key: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
+def append_results(stream: DataFrame, path: str, checkpoint: str, key: str = "game_pk", folders: int = RESULT_FOLDERS):
+    """Append-only result series (exactly once, by the file sink's log): the rows of a key lie in one of ``folders`` folders.
+
+    A task writes one file a folder at most, whatever the number of keys, and a hot key is shared by the tasks that read it.
+    """
+    return (stream.withColumn("folder", _result_folder(F.col(key), folders)).writeStream.format("parquet").outputMode("append").partitionBy("folder")
             .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True))
 
 
+def read_results(spark: SparkSession, path: str, value: Column | None = None, key: str = "game_pk", folders: int = RESULT_FOLDERS) -> DataFrame:
+    """The series written by ``append_results``; with a key's ``value``, of its type, only that key's folder is read."""
+    rows = spark.read.parquet(path)
+    if value is not None:
+        rows = rows.where((F.col("folder") == _result_folder(value, folders)) & F.col(key).eqNullSafe(value))
+    return rows.drop("folder")
+
+
 def poll_metrics_stream(stream: DataFrame, key: str = "game_pk") -> DataFrame:
     """Running counters and response times per game, for update or complete output."""
     failed = F.col("error").isNotNull() & (F.col("error") != "")

@@ -129,3 +129,15 @@ def test_missing_state_is_an_error(spark):
     assert sink.previous(0) is None
     with pytest.raises(FileNotFoundError):
         sink.previous(3)
+
+
+def test_result_folders_do_not_grow_with_keys(spark):
+    data = [(None if k == 7 else k, n, T0, 1, "Top", 0, 7, 0) for n, k in enumerate(list(range(300)) * 2)]
+    path = fresh_path(spark, "series")
+    live.append_results(_stream(spark, [data[:300], data[300:]]).select("game_pk", "n"), f"{path}/data", f"{path}/cp").start().awaitTermination()
+    files = spark.read.parquet(f"{path}/data").select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 2 * live.RESULT_FOLDERS
+    assert rows(live.read_results(spark, f"{path}/data"), "game_pk", "n") == sorted(((k, n) for k, n, *_ in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    one = live.read_results(spark, f"{path}/data", F.lit(11).cast("long"))
+    assert rows(one, "game_pk", "n") == [(11, 11), (11, 311)] and "PartitionFilters: [isnotnull(folder" in one._jdf.queryExecution().toString()
+    assert rows(live.read_results(spark, f"{path}/data", F.lit(None).cast("long")), "n") == [(7,), (307,)]
