@@ -1,6 +1,6 @@
 """Documents to mixed, encoded training data: the stages in order, each over all its predecessor kept.
 
-Quality classifier, near-duplicates, benchmark decontamination, source mixing, token files. Every stage
+Quality classifier, near-duplicates by SimHash and by sets of shingles, benchmark decontamination, source mixing, token files. Every stage
 but the last returns the columns of its input.
 """
 
@@ -18,8 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return neardup.representatives(docs)
+    """The document with the smallest id of each group of near-duplicates: SimHash fingerprints within two bits, or shingles alike."""
+    return neardup.representatives(docs, fingerprints=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

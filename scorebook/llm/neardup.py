@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorebook.llm import simhash
 from scorebook.llm.common import narrow, slices, staged, unstaged
 from scorebook.llm.simhash import components, grouped, one_of_each
 from scorebook.llm.spans import Words
@@ -256,14 +257,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _near_duplicates(narrow(docs, doc_id=id_col, text=text_col))[0]
 
 
-def _near_duplicates(docs: DataFrame):
+def _near_duplicates(docs: DataFrame, fingerprints: bool = False):
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
     found = staged(prints(docs, sent), "near-prints")
     plain = found.select("doc_id", "fp")
-    return plain.join(grouped(plain, links(found, docs, sent)), "fp").select("doc_id", "fp", "root", "component_id"), sent
+    edges = links(found, docs, sent)
+    if fingerprints:
+        edges = edges.union(by_fingerprint(docs, sent)).distinct()
+    return plain.join(grouped(plain, edges), "fp").select("doc_id", "fp", "root", "component_id"), sent
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id."""
-    groups, sent = _near_duplicates(narrow(docs, doc_id=id_col, text=text_col))
+def by_fingerprint(docs: DataFrame, sent) -> DataFrame:
+    """Edges u > v joining the sets of texts whose SimHash fingerprints are in one component, by ``simhash``."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part in slices(b, limit=SLICE):
+                texts = part.column("text")
+                sim = np.fromiter((simhash.fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_prints(*shingles(texts, sent.value))), pa.array(sim)], ["doc_id", "set", "fp"])
+
+    found = staged(docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, fp long"), "near-simhash")
+    rooted = staged(found.select("set", "fp").distinct().join(simhash.labels(found.select("doc_id", "fp")).select("fp", "root"), "fp").select("root", "set").distinct(), "near-simhash-sets")
+    unstaged(found)
+    least = rooted.groupBy("root").agg(F.min("set").alias("v"))
+    return rooted.join(least, "root").where("set > v").select(F.col("set").alias("u"), "v")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id.
+
+    With ``fingerprints``, texts are also linked if their SimHash fingerprints are (see ``simhash``): groups are the
+    components of both kinds of links.
+    """
+    narrowed = narrow(docs, doc_id=id_col, text=text_col)
+    groups, sent = _near_duplicates(narrowed, fingerprints)
     return one_of_each(docs, groups, lambda texts: _prints(*shingles(texts, sent.value)), id_col, text_col, SLICE)

@@ -65,6 +65,18 @@ def test_stage_drops_what_radius_two_keeps(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
+def test_stage_links_fingerprints_too(spark):
+    """Texts whose repeated part outweighs their ends: fingerprints within two bits, sets of shingles far from 0.8."""
+    base = ["w%d" % i for i in range(21)] * 60  # an odd number of shingles: no bit is a tie
+    texts = [" ".join(base + ["%s%d" % (c, i) for i in range(12)]) for c in "abc"] + ["something else altogether that is here"]
+    assert not brute_pairs(texts)
+    assert all(bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(t)).count("1") <= simhash.RADIUS for t in texts[:3])
+    near = " ".join((base + ["c%d" % i for i in range(12)])[1:])  # linked to the third by its shingles
+    docs = spark.createDataFrame([*enumerate([*texts, near, None, " "], 1)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 4, 6]
+    assert sorted(r.doc_id for r in neardup.representatives(docs).collect()) == [1, 2, 3, 4, 6]
+
+
 def test_stage_edge_cases(spark, tricky, nothing):
     kept = neardup.representatives(tricky)
     assert kept.columns == tricky.columns
