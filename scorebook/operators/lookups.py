@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,15 +200,6 @@ def run_expectancy(df: DataFrame, out: str = "current_re") -> DataFrame:
 
 # --- calibration curves ------------------------------------------------------
 
-def knot_segments(knots: DataFrame, cls: str = "class") -> DataFrame:
-    """Knots (class, x, y) as one sorted array per class.
-
-    A curve holds at most as many knots as the fitted isotonic steps; it is data of the model,
-    not of the scored rows.
-    """
-    return knots.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__knots"))
-
-
 def knots_below(value: Column, knots: Column) -> Column:
     """How many knots have x <= value, by binary search over the sorted array."""
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(knots) + F.lit(1.0))).cast("int") + 1)
@@ -233,30 +227,81 @@ def interpolate(value: Column, knots: Column) -> Column:
     return F.transform(F.array(found), line)[0]  # the search once, not once per use
 
 
+def curve_arrays(knots: DataFrame, cls: str = "class") -> dict:
+    """Knots (class, x, y) as two arrays per class, in order of x.
+
+    A curve holds at most as many knots as the fitted isotonic steps; it is data of the model, not of the scored
+    rows, so it travels with the function that reads it.
+    """
+    curves: dict = {}
+    for c, x, y in sorted(knots.where(F.col(cls).isNotNull() & F.col("x").isNotNull()).select(cls, F.col("x").cast("double"), F.col("y").cast("double")).collect(),
+                          key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0.0)):
+        curves.setdefault(c, ([], []))
+        curves[c][0].append(x)
+        curves[c][1].append(float("nan") if y is None else y)
+    return {c: (np.array(x), np.array(y)) for c, (x, y) in curves.items()}
+
+
+def curve_values(value: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Piecewise-linear values; the ends are extended flat."""
+    x, y = curve
+    at = np.searchsorted(x, value, side="right")
+    a, b = np.maximum(at - 1, 0), np.minimum(at, len(x) - 1)
+    with np.errstate(all="ignore"):
+        inner = y[a] + (value - x[a]) * (y[b] - y[a]) / (x[b] - x[a])
+    return np.where(at == 0, y[0], np.where(at == len(x), y[-1], inner))
+
+
 def calibrate_vector(df: DataFrame, knots: DataFrame, proba: str = "proba", out: str = "calibrated") -> DataFrame:
     """Calibrate an array of class probabilities in place and rescale it to sum one: no explode, no shuffle.
 
     ``knots`` (class, x, y) are the model's own curves, ``ml.CALIBRATION_CELLS`` knots a class or so at most (16 KB);
-    they travel as one broadcast row, and classes without a curve give 0. Probabilities without a row of curves stay as they are.
+    unknown probabilities and classes without a curve give 0.
     """
-    curves = knots.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
-    one = curves.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("int"), "k"))).alias("__curves"))
-    joined = df.join(F.broadcast(one), F.lit(True), "left")
-    raw = F.transform(proba, lambda p, i: F.coalesce(interpolate(p, F.try_element_at("__curves", i)), F.lit(0.0)))
-    total = F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
-    return joined.withColumn("__raw", raw).withColumn("__total", total).withColumn(out, F.transform(
-        "__raw", lambda x: x / F.when(F.col("__total") > 0, F.col("__total")).otherwise(F.lit(1.0)))).drop("__raw", "__total", "__curves")
+    curves = {int(c): v for c, v in curve_arrays(knots).items()}
+
+    @F.arrow_udf("array<double>")
+    def rescaled(p: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(p), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = p.flatten()
+        value, known = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        place = np.arange(len(value)) - np.repeat(ends - size, size)
+        raw, total = np.zeros(len(value)), np.zeros(len(size))
+        for c in range(int(size.max(initial=0))):
+            at = np.flatnonzero(place == c)
+            if c in curves:
+                raw[at] = np.where(known[at], curve_values(value[at], curves[c]), 0.0)
+                raw[at[np.isnan(raw[at])]] = 0.0
+            total[size > c] += raw[at]
+        raw /= np.repeat(np.where(total > 0, total, 1.0), size)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(raw))
+        return pc.if_else(p.is_valid(), lists, pa.scalar(None, lists.type)) if p.null_count else lists
+
+    return df.withColumn(out, rescaled(F.col(proba).cast("array<double>")))
 
 
 def apply_calibration(df: DataFrame, knots: DataFrame, row_id: str, cls: str = "class",
                       p: str = "p") -> DataFrame:
     """Calibrate one probability per (row, class) and rescale each row to sum one.
 
-    Rows come in long form. The curves are joined by class, one row each; Spark broadcasts them
-    when they are small and splits a skewed class otherwise. The row total is a window over at
-    most one value per class.
+    Rows come in long form; classes without a curve are dropped. The curves go out with the function that reads
+    them, a batch of rows at a time. The row total is a window over at most one value per class.
     """
-    curves = knot_segments(knots, cls)
-    rows = df.join(curves, cls).withColumn("__v", interpolate(F.col(p), F.col("__knots"))).drop("__knots")
+    curves = curve_arrays(knots, cls)
+    classes = list(curves)
+
+    @F.arrow_udf("double")
+    def calibrated(code: pa.Array, p: pa.Array) -> pa.Array:
+        which, known = code.to_numpy(zero_copy_only=False), p.is_valid().to_numpy(zero_copy_only=False)
+        value, out = pc.fill_null(p, 0.0).to_numpy(zero_copy_only=False), np.zeros(len(p))
+        for i, c in enumerate(classes):
+            at = which == i
+            out[at] = curve_values(value[at], curves[c])
+        return pa.array(out, mask=~known | np.isnan(out))
+
+    code = F.coalesce(*[F.when(F.col(cls) == F.lit(c), F.lit(i)) for i, c in enumerate(classes)]) if classes else F.lit(None).cast("int")
+    rows = df.withColumn("__c", code).where("__c IS NOT NULL")
+    rows = rows.withColumn("__v", calibrated("__c", F.col(p).cast("double"))).drop("__c")
     total = F.sum("__v").over(Window.partitionBy(row_id))
     return rows.withColumn("p_calibrated", F.col("__v") / F.when(total > 0, total).otherwise(F.lit(1.0))).drop("__v")

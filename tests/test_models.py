@@ -150,3 +150,25 @@ def test_mrmr_skips_the_repeated_feature(spark):
         within = sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(x) - 3)
         assert f[name] == pytest.approx(between / within)
     assert rows(df.groupBy("c").count(), "c")[0] == ("0",)
+
+
+def test_calibration_in_batches_equals_single_values(spark):
+    """Curves are read by arrays: no search is interpreted row by row, and every value is that of ``interpolate``."""
+    rng = random.Random(4)
+    knots = [(c, x, rng.random()) for c in (0, 2) for x in sorted(rng.random() for _ in range(7))]
+    curves = spark.createDataFrame(knots, "class int, x double, y double")
+    ps = [[rng.choice([None, rng.random(), 0.0, 1.0, knots[3][1]]) for _ in range(rng.randrange(5))] for _ in range(60)] + [None, [], [float("nan"), 0.5, 0.1]]
+    df = spark.createDataFrame(list(enumerate(ps)), "r long, proba array<double>")
+    got = {r.r: r.calibrated for r in lookups.calibrate_vector(df, curves).collect()}
+    one = df.select("r", F.posexplode("proba").alias("class", "p")).join(curves.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k")), "class")
+    want = {(r.r, r["class"]): r.v for r in one.select("r", "class", lookups.interpolate(F.col("p"), F.col("k")).alias("v")).collect()}
+    for i, p in enumerate(ps):
+        raw = None if p is None else [want.get((i, c)) or 0.0 for c in range(len(p))]
+        assert got[i] == (None if p is None else [v / (sum(raw) or 1.0) for v in raw])
+    rows = df.select("r", F.posexplode("proba").alias("class", "p"))
+    long = lookups.apply_calibration(rows, curves, "r")
+    assert "aggregate(" not in long._jdf.queryExecution().executedPlan().toString()
+    for r in long.collect():
+        total = sum(v for (i, _), v in want.items() if i == r.r and v is not None)
+        assert (r.p_calibrated is None) if r.p is None else r.p_calibrated == pytest.approx(want[r.r, r["class"]] / (total or 1.0))
+    assert lookups.apply_calibration(rows, curves.limit(0), "r").count() == 0
