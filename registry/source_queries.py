@@ -305,7 +305,7 @@ query("a28_eval_horizons", f"SELECT CAST(o_orderkey AS VARCHAR) AS eval_id, o_or
 
 
 def _backfill(spark, sf):
-    r = runs(spark, sf)
+    r = T.staged(runs(spark, sf), "runs")
     have = EV.decompose_eval(r.where("cast(eval_id as bigint) % 3 = 0"))
     return EV.backfill_eval(r, have["games"], have["horizons"].where("cast(eval_id as bigint) % 2 = 0"))
 

@@ -70,7 +70,10 @@ def eval_horizons(parsed: DataFrame) -> DataFrame:
 
 
 def decompose_eval(raw: DataFrame, col: str = "results") -> dict[str, DataFrame]:
-    parsed = parse_runs(raw, col)  # rows that are not JSON fan out to nothing
+    return _decomposed(parse_runs(raw, col))  # rows that are not JSON fan out to nothing
+
+
+def _decomposed(parsed: DataFrame) -> dict[str, DataFrame]:
     return {"games": eval_games(parsed), "levels": eval_levels(parsed), "convergence": eval_convergence(parsed),
             "horizons": eval_horizons(parsed)}
 
@@ -82,15 +85,18 @@ def backfill_eval(raw: DataFrame, games: DataFrame, horizons: DataFrame, col: st
     A run without game rows gets all four tables; one with game rows but no horizons gets its
     horizons. Text that is not JSON is counted and skipped.
     """
-    raw = raw.where(F.col(col).isNotNull())
+    from scorebook.sources.tables import staged
+
+    # Texts are parsed once; only flat child rows meet the keys of the runs that are there.
+    parsed = staged(parse_runs(raw.where(F.col(col).isNotNull()), col).select("eval_id", "__r"), "eval-parsed")
     done, have = games.select("eval_id").distinct(), horizons.select("eval_id").distinct()
-    parts = decompose_eval(raw.join(done, "eval_id", "left_anti"), col)
-    again = raw.join(done, "eval_id", "left_semi").join(have, "eval_id", "left_anti")
-    late = decompose_eval(again, col)["horizons"]
-    parts["horizons"] = parts["horizons"].unionByName(late)
-    marked = parse_runs(raw, col).join(done.withColumn("__d", F.lit(True)), "eval_id", "left")
+    parts = {name: rows.join(done, "eval_id", "left_anti") for name, rows in _decomposed(parsed).items() if name != "horizons"}
+    found = eval_horizons(parsed)
+    parts["horizons"] = found.join(done.join(have, "eval_id", "left_semi"), "eval_id", "left_anti")
+    late = found.select("eval_id").distinct().join(done, "eval_id", "left_semi").join(have, "eval_id", "left_anti")
+    marked = parsed.select("eval_id", F.col("__r").isNotNull().alias("__ok")).join(done.withColumn("__d", F.lit(True)), "eval_id", "left")
     known = F.coalesce("__d", F.lit(False))
     counts = marked.agg(
-        F.count_if(~known & F.col("__r").isNotNull()).alias("backfilled"), F.count_if(known).alias("skipped"),
-        F.count_if(~known & F.col("__r").isNull()).alias("errors"))
-    return parts, counts.withColumn("horizons_backfilled", late.agg(F.count_distinct("eval_id")).scalar())
+        F.count_if(~known & F.col("__ok")).alias("backfilled"), F.count_if(known).alias("skipped"),
+        F.count_if(~known & ~F.col("__ok")).alias("errors"))
+    return parts, counts.withColumn("horizons_backfilled", late.agg(F.count("eval_id")).scalar())

@@ -151,3 +151,17 @@ def test_increment_from_the_newest_state(spark):
         got |= {tuple(r) for r in out.collect()}
         state = newest_state(part, "e", ["x"]) if state is None else advance(state, out, "e")
     assert got == full
+
+
+def test_backfill_parses_once(spark):
+    """Repeated and unknown run ids keep their rows; the texts are parsed once, before any key is looked up."""
+    from scorebook.sources import evaluations as ev
+
+    doc = lambda g: '{"games": [{"game_pk": %d, "horizons": {"+1pa": {"n_reached": 1}}}]}' % g
+    raw = spark.createDataFrame([("new", doc(1)), ("new", doc(2)), (None, doc(3)), ("late", doc(4)), ("done", doc(5)), ("bad", "{x"), ("late", None), ("done", "[]")], "eval_id string, results string")
+    games = spark.createDataFrame([("done", 5), ("done", 6), ("late", 4), (None, 9)], "eval_id string, game_pk long")
+    parts, counts = ev.backfill_eval(raw, games, games.where("eval_id <> 'late'"))
+    assert "from_json" not in parts["horizons"]._jdf.queryExecution().toString()
+    assert rows(parts["games"], "eval_id", "game_pk") == [(None, 3), ("new", 1), ("new", 2)]
+    assert rows(parts["horizons"], "eval_id", "game_pk") == [(None, 3), ("late", 4), ("new", 1), ("new", 2)]
+    assert [tuple(r) for r in counts.collect()] == [(3, 3, 1, 1)]
