@@ -45,6 +45,24 @@ GAME = (f"struct<gameData:struct<status:struct<abstractGameState:string,detailed
         f"teams:struct<home:{TEAM_INFO},away:{TEAM_INFO}>>,"
         f"liveData:struct<plays:struct<allPlays:array<{PLAY}>,currentPlay:{PLAY}>,"
         f"linescore:{LINESCORE},boxscore:{BOXSCORE}>>")
+#: What each operator on live documents reads; other fields are passed over, not built.
+STATE = (f"struct<gameData:struct<status:struct<abstractGameState:string,detailedState:string>>,"
+         f"liveData:struct<plays:struct<currentPlay:struct<about:struct<isComplete:boolean,endTime:string>,"
+         f"result:struct<event:string,description:string>,matchup:struct<batter:{NAMED},pitcher:{NAMED}>>>,"
+         f"linescore:struct<currentInning:int,inningHalf:string,outs:int,balls:int,strikes:int,"
+         f"offense:struct<first:{NAMED},second:{NAMED},third:{NAMED}>,teams:struct<home:struct<runs:int>,away:struct<runs:int>>>>>")
+AT_BAT = (f"struct<liveData:struct<plays:struct<currentPlay:struct<"
+          f"matchup:struct<batter:{NAMED},pitcher:{NAMED},batSide:{CODE}>,playEvents:array<{PLAY_EVENT}>>>>>")
+LINE = (f"struct<liveData:struct<linescore:struct<currentInning:int,inningHalf:string,outs:int,"
+        f"offense:struct<first:{ID},second:{ID},third:{ID}>,teams:struct<home:struct<runs:int>,away:struct<runs:int>>>>>")
+MOUND = (f"struct<liveData:struct<plays:struct<currentPlay:struct<matchup:struct<pitcher:{ID}>>>,linescore:struct<inningHalf:string>,"
+         f"boxscore:struct<teams:struct<away:struct<pitchers:array<bigint>>,home:struct<pitchers:array<bigint>>>>>>")
+SHOWN = ("struct<about:struct<inning:int,halfInning:string,isScoringPlay:boolean,isComplete:boolean>,"
+         "result:struct<event:string,description:string>>")
+DETAIL = (f"struct<gameData:struct<teams:struct<home:{TEAM_INFO},away:{TEAM_INFO}>>,"
+          f"liveData:struct<plays:struct<allPlays:array<{SHOWN}>>,"
+          f"linescore:struct<teams:struct<home:{RUNS},away:{RUNS}>,"
+          f"innings:array<struct<num:int,home:struct<runs:int>,away:struct<runs:int>>>>,boxscore:{BOXSCORE}>>")
 PERSON = ("struct<id:bigint,fullName:string,firstName:string,lastName:string,active:boolean,birthDate:string,"
           "mlbDebutDate:string,primaryPosition:struct<abbreviation:string>,batSide:struct<code:string>,"
           "pitchHand:struct<code:string>,currentTeam:struct<id:bigint,name:string>>")
@@ -141,8 +159,8 @@ def flatten_boxscore(raw: DataFrame, key: str = "game_pk", col: str = "doc") ->
 
 # --- live documents ----------------------------------------------------------
 
-def parse_live(raw: DataFrame, col: str = "doc") -> DataFrame:
-    return raw.withColumn("__g", F.from_json(F.col(col), GAME))
+def parse_live(raw: DataFrame, col: str = "doc", schema: str = GAME) -> DataFrame:
+    return raw.withColumn("__g", F.from_json(F.col(col), schema))
 
 
 def _runners() -> Column:
@@ -157,7 +175,7 @@ def flat_state(raw: DataFrame, keep: list[str] = ("game_pk",), col: str = "doc")
     """Flat current state of a live document; ``runners`` is a JSON text of base to name."""
     line, play = F.col("__g.liveData.linescore"), F.col("__g.liveData.plays.currentPlay")
     status = F.col("__g.gameData.status")
-    return parse_live(raw, col).select(
+    return parse_live(raw, col, STATE).select(
         *keep, status["abstractGameState"].alias("abstract_game_state"), status["detailedState"].alias("status"),
         line["teams"]["away"]["runs"].alias("away_score"), line["teams"]["home"]["runs"].alias("home_score"),
         line["currentInning"].alias("inning"), line["inningHalf"].alias("inning_half"), line["outs"].alias("outs"),
@@ -189,7 +207,7 @@ def current_ab(raw: DataFrame, keep: list[str] = ("game_pk",), col: str = "doc")
             e["count"]["strikes"].alias("strikes_after"))
 
     m = play["matchup"]
-    return parse_live(raw, col).withColumn("__pitches", F.coalesce(pitches, F.array().cast(f"array<{PLAY_EVENT}>"))).select(
+    return parse_live(raw, col, AT_BAT).withColumn("__pitches", F.coalesce(pitches, F.array().cast(f"array<{PLAY_EVENT}>"))).select(
         *keep, m["batter"]["id"].alias("batter_id"), m["batter"]["fullName"].alias("batter_name"),
         m["pitcher"]["id"].alias("pitcher_id"), m["pitcher"]["fullName"].alias("pitcher_name"),
         m["batSide"]["code"].alias("bat_side"), first["strikeZoneTop"].alias("sz_top"),
@@ -204,7 +222,7 @@ def live_state(raw: DataFrame, keep: list[str] = ("game_pk",), col: str = "doc")
     def on(base: str, bit: int) -> Column:
         return F.when(off[base].isNotNull(), bit).otherwise(0)
 
-    return parse_live(raw, col).select(
+    return parse_live(raw, col, LINE).select(
         *keep, F.coalesce(line["currentInning"], F.lit(1)).alias("inning"),
         F.when(line["inningHalf"] == "Bottom", 1).otherwise(0).alias("half"),
         F.coalesce(line["outs"], F.lit(0)).alias("outs"),
@@ -219,7 +237,7 @@ def pitcher_by_side(raw: DataFrame, keep: list[str] = ("game_pk",), col: str = "
     bottom = F.coalesce(F.col("__g.liveData.linescore.inningHalf") == "Bottom", F.lit(False))
     now = F.col("__g.liveData.plays.currentPlay.matchup.pitcher.id")
     last = {s: F.try_element_at(box[s]["pitchers"], F.lit(-1)) for s in ("home", "away")}
-    return parse_live(raw, col).select(*keep, F.when(bottom, last["home"]).otherwise(now).alias("home_pitcher_id"),
+    return parse_live(raw, col, MOUND).select(*keep, F.when(bottom, last["home"]).otherwise(now).alias("home_pitcher_id"),
                                        F.when(bottom, now).otherwise(last["away"]).alias("away_pitcher_id"))
 
 
@@ -293,6 +311,6 @@ def game_detail(raw: DataFrame, keep: list[str] = ("game_pk",), col: str = "doc"
         F.coalesce(p["result"]["event"], F.lit("")).alias("event"),
         F.coalesce(p["result"]["description"], F.lit("")).alias("description"),
         F.coalesce(p["about"]["isScoringPlay"], F.lit(False)).alias("is_scoring")))
-    return parse_live(raw, col).select(
+    return parse_live(raw, col, DETAIL).select(
         *keep, _team("home").alias("home"), _team("away").alias("away"), shown.alias("plays"),
         F.struct(innings.alias("innings"), totals("away").alias("away"), totals("home").alias("home")).alias("linescore"))
