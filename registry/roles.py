@@ -312,7 +312,11 @@ def _games(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_pitches(spark, sf) -> DataFrame:
-    return _apply(load(spark, sf, "lineitem"), pitch_steps(Spark))
+    """The last number of an order is taken by (game, appearance), which is the order under another name: rows then
+    lie as the de-duplication of pitches needs them, and only the columns of a line item are shuffled."""
+    (first, numbered, *rest), cols = pitch_steps(Spark)
+    last = {"last_no": first.pop("last_no").replace("l_orderkey", "game_pk, at_bat_number")}
+    return _apply(load(spark, sf, "lineitem"), ([first, numbered, last, *rest], cols))
 
 
 def events(spark, sf) -> DataFrame:
