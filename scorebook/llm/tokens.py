@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorebook.llm.common import narrow
+from scorebook.llm.common import narrow, slices
 from scorebook.llm.counts import byte_alphabet
 from scorebook.session import fresh_path
 
@@ -31,30 +32,49 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LONGEST = 16
 BLOCK = 512
 CHUNK = 1 << 18
-#: Pieces and words whose ids a task keeps; when full, only those that came again stay.
-KEPT = 200_000
+#: Pieces and words whose ids a task keeps; of the first half, those that come again during the second stay.
+KEPT = 300_000
+#: Bytes of text encoded at once.
+SLICE = 4 << 20
 
 
 def _path(vocabulary: str | None) -> str:
     return vocabulary or public_tokenizers.path(VOCABULARY)
 
 
+def _distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, the number of each text's words in a row, and the bounds of each text."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), lists.offsets.to_numpy()
+
+
+def _gathered(ids: np.ndarray, bounds: np.ndarray, part: np.ndarray, of_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows made of parts, and the bounds of each row; ``bounds`` are those of the parts' ids."""
+    n = np.diff(bounds)[part]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return ids[np.repeat(bounds[part] - ends[:-1], n) + np.arange(ends[-1])], ends[of_row]
+
+
 class WordEncoder:
-    """Ids of texts under a vocabulary in which white space only separates: every piece or word is encoded once.
+    """Ids of texts under a vocabulary in which white space only separates: every distinct piece is encoded once.
 
-    Texts of ASCII and Latin-1 letters, which are the same in every normal form, are cut into pieces by the
-    tokenizer's own pattern here, and the library's model encodes each distinct piece; other texts, and any
-    that could hold a special token, are cut at white space and their words go through the whole tokenizer.
+    Texts of ASCII and Latin-1 letters, which are the same in every normal form, are split into words by Arrow, the
+    distinct words into pieces by the tokenizer's own pattern, and the library's model encodes each distinct piece; the
+    ids of words and texts are then gathered at once. Words of other texts, and of any that could hold a special token,
+    go through the whole tokenizer.
     """
 
     PLAIN = re.compile("[ -~\t-\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+", re.ASCII)
+    #: Matched within words in lower case.
+    PIECE = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 
     def __init__(self, path: str):
-        self.tok, self.memo, self.again = Tokenizer.from_file(path), {}, set()
+        self.tok, self.memo, self.older = Tokenizer.from_file(path), {}, {}
         self.model, self.plain = self.tok.model, self._known(json.loads(self.tok.to_str()))
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet()) if b > 126})
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.id_bytes = [i.tobytes() for i in np.arange(max(END, *self.tok.get_vocab().values()) + 1).astype(self.dtype)]
 
     @staticmethod
     def _known(spec: dict) -> bool:
@@ -64,33 +84,48 @@ class WordEncoder:
         return (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cut] == ["Split", "ByteLevel"]
                 and cut[0]["pattern"] == {"Regex": PATTERN} and not cut[1]["add_prefix_space"] and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
 
-    def _units(self, text: str) -> list:
-        if self.plain and "<|" not in text and self.PLAIN.fullmatch(text):
-            return self.PIECE.findall(text.lower())
-        return text.encode("utf-8", "surrogatepass").split()
-
-    def _learn(self, new: list) -> None:
-        dtype, words = self.dtype, [u for u in new if type(u) is bytes]
-        for piece in new:
-            if type(piece) is str:
-                text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                self.memo[piece] = np.array([t.id for t in self.model.tokenize(text)], dtype).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
+
+    def _ids(self, units: list, learn) -> list[bytes]:
+        """Ids of distinct pieces or words; ``learn`` gives those of what is not kept."""
+        out, older = [*map(self.memo.get, units)], self.older
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = older.get(units[i])
+        new = [i for i in missing if out[i] is None]
+        for i, ids in zip(new, learn([units[i] for i in new])):
+            out[i] = ids
+        self.memo.update([(units[i], out[i]) for i in missing])
+        return out
+
+    def _raw(self, words: list[bytes]) -> Iterator[bytes]:
         for lo in range(0, len(words), 4096):
-            some = words[lo : lo + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, dtype).tobytes()
+            for e in self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words[lo : lo + 4096]], add_special_tokens=False):
+                yield b"".join([self.id_bytes[i] for i in e.ids])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts in lower case."""
+        words, word, of_text = _distinct(pa.array(texts, pa.string()))
+        pieces, piece, of_word = _distinct(pc.replace_substring_regex(words, self.PIECE, "\\0 "))
+        each = self._ids(pieces.to_pylist(), lambda new: map(self._piece, new))
+        bounds = np.cumsum([0, *map(len, each)]) // len(self.id_bytes[0])
+        ids, bounds = _gathered(*_gathered(np.frombuffer(b"".join(each), self.dtype), bounds, piece, of_word), word, of_text)
+        bounds = bounds.tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        units = [self._units(t or "") for t in texts]
-        if len(self.memo) > KEPT:
-            self.memo = {u: self.memo[u] for u in self.again} if len(self.again) <= KEPT // 2 else {}
-            self.again = set()
-        distinct, memo = set().union(*units), self.memo
-        new = [u for u in distinct if u not in memo]
-        self.again.update(distinct.difference(new))
-        self._learn(new)
-        end = np.array([END], self.dtype).tobytes()
-        return [b"".join([*map(memo.__getitem__, us), end]) for us in units]
+        if len(self.memo) > KEPT // 2:
+            self.memo, self.older = {}, self.memo
+        texts = [t or "" for t in texts]
+        plain = [self.plain and "<|" not in t and bool(self.PLAIN.fullmatch(t)) for t in texts]
+        short = iter(self._plain([t.lower() for t, p in zip(texts, plain) if p]))
+        raw = [t.encode("utf-8", "surrogatepass").split() for t, p in zip(texts, plain) if not p]
+        distinct = [*set().union(*raw)]
+        ids = dict(zip(distinct, self._ids(distinct, self._raw)))
+        whole = (b"".join(map(ids.__getitem__, words)) for words in raw)
+        return [next(short if p else whole) + self.id_bytes[END] for p in plain]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -183,9 +218,9 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(_path(vocabulary))
         for b in it:
-            for lo in range(0, b.num_rows, 500):
-                ids = enc.encode(b.column("text").slice(lo, 500).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, 500), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+            for part in slices(b, limit=SLICE):
+                ids = enc.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  ["doc_id", "crc", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, crc long, ids binary")
@@ -208,8 +243,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in it:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size)
+            for lo in range(0, b.num_rows, 500):
+                total += np.bincount(np.frombuffer(b"".join(b.column("ids").slice(lo, 500).to_pylist()), dtype), minlength=size)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
 

@@ -179,3 +179,17 @@ def test_pipeline_stages(spark):
     assert {i: sum(len(t.split(" ")) if "\n" not in t else len(t.split()) for t in g.text) for i, g in mixed.groupby("doc_id")} == taken
     last = kept[names[4]].sort_values("start")
     assert [tuple(r) for r in last[["doc_id", "start", "n_tokens", "ids_crc32"]].itertuples(index=False)] == brute_tokens(list(zip(mixed.doc_id.tolist(), mixed.text)))
+
+
+def test_encoder_keeps_no_more_than_it_may(monkeypatch):
+    """Words and pieces come back after the table was full; plain and other texts in one batch keep their order."""
+    monkeypatch.setattr(tokens, "KEPT", 40)
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    tok, enc, rng = Tokenizer.from_file(path), tokens.WordEncoder(path), random.Random(23)
+    words = ["don't", "We'll", "a1b22", "\u00c9t\u00e9,", "!?", "''s", "\u0130x", "\u65e5\u672c", "(house)", "x" * 40, *(f"w{chr(97 + i % 26)}{i}." for i in range(90))]
+    for _ in range(12):
+        texts = [None, "", "  \t\x0b ", *(" \n".join(rng.choices(words, k=rng.randrange(30))) + rng.choice(["", " "]) for _ in range(8))]
+        got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+        assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, tokens.END] for t in texts]
+        assert len(enc.older) + len(enc.memo) < 600
+    assert len(enc.older) > 0
