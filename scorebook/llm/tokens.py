@@ -33,9 +33,7 @@ LONGEST = 16
 BLOCK = 512
 CHUNK = 1 << 18
 #: Pieces and words whose ids a task keeps; of the first half, those that come again during the second stay.
-KEPT = 300_000
-#: Bytes of text encoded at once.
-SLICE = 4 << 20
+KEPT = 200_000
 
 
 def _path(vocabulary: str | None) -> str:
@@ -109,7 +107,7 @@ class WordEncoder:
         """Ids of plain texts in lower case."""
         words, word, of_text = _distinct(pa.array(texts, pa.string()))
         pieces, piece, of_word = _distinct(pc.replace_substring_regex(words, self.PIECE, "\\0 "))
-        each = self._ids(pieces.to_pylist(), lambda new: map(self._piece, new))
+        each = self._ids(pieces.to_numpy(zero_copy_only=False).tolist(), lambda new: map(self._piece, new))
         bounds = np.cumsum([0, *map(len, each)]) // len(self.id_bytes[0])
         ids, bounds = _gathered(*_gathered(np.frombuffer(b"".join(each), self.dtype), bounds, piece, of_word), word, of_text)
         bounds = bounds.tolist()
@@ -218,7 +216,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(_path(vocabulary))
         for b in it:
-            for part in slices(b, limit=SLICE):
+            for part in slices(b):
                 ids = enc.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  ["doc_id", "crc", "ids"])
