@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorebook.llm.common import narrow, slices
+from scorebook.llm.common import narrow, slices, small_batches
 from scorebook.llm.counts import byte_alphabet
 from scorebook.session import fresh_path
 
@@ -51,7 +51,9 @@ def _gathered(ids: np.ndarray, bounds: np.ndarray, part: np.ndarray, of_row: np.
     """Ids of rows made of parts, and the bounds of each row; ``bounds`` are those of the parts' ids."""
     n = np.diff(bounds)[part]
     ends = np.concatenate(([0], np.cumsum(n)))
-    return ids[np.repeat(bounds[part] - ends[:-1], n) + np.arange(ends[-1])], ends[of_row]
+    at = np.repeat(bounds[part] - ends[:-1], n)
+    at += np.arange(ends[-1])
+    return ids[at], ends[of_row]
 
 
 class WordEncoder:
@@ -217,6 +219,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         enc = word_encoder(_path(vocabulary))
         for b in it:
             for part in slices(b):
+                pa.default_memory_pool().release_unused()  # what earlier slices, and other tasks of this worker, left
                 ids = enc.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  ["doc_id", "crc", "ids"])
@@ -235,7 +238,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tok = Tokenizer.from_file(_path(vocabulary))
     size, dtype = tok.get_vocab_size(), "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
     ids_path = fresh_path(spark, "token-ids")
-    tokenized(df, vocabulary).write.option("compression", "zstd").parquet(ids_path)
+    with small_batches(spark):
+        tokenized(df, vocabulary).write.option("compression", "zstd").parquet(ids_path)
     ids = spark.read.schema("doc_id long, crc long, ids binary").parquet(ids_path)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +251,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
+    with small_batches(spark):
+        for r in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+            counts[r.id] = r.n
     lengths = code_lengths(counts)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +279,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield chunk()
 
-    (ids.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-     .mapInArrow(encode, FILE).write.option("compression", "uncompressed").parquet(path))
+    with small_batches(spark):
+        (ids.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+         .mapInArrow(encode, FILE).write.option("compression", "uncompressed").parquet(path))
     return lengths
 
 

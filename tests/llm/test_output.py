@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from brute import brute_least
 from scorebook.llm import counts, decontam, mixing, quality, tokens
+from scorebook.llm.common import SLICE_BYTES, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,6 +125,28 @@ def test_token_files_round_trip(spark, tricky, nothing, monkeypatch):
     assert tokens.round_trip(tricky).count() == tricky.count()
 
 
+def test_tokens_are_made_from_batches_of_a_slice(spark, monkeypatch):
+    unit = 1 << 16
+
+    def sizes(docs, vocabulary=None):
+        def run(it):  # as many tokens as the batch has units
+            for b in it:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), pa.array([b"\2\0" * (b.nbytes // unit)] * b.num_rows, pa.binary())], ["doc_id", "crc", "ids"])
+
+        return docs.mapInArrow(run, "doc_id long, crc long, ids binary")
+
+    monkeypatch.setattr(tokens, "tokenized", sizes)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(0, 1200, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    got = [r.n_tokens for r in tokens.round_trip(df).collect()]
+    assert len(got) == 1200 and max(got) <= SLICE_BYTES // unit + 1 < sum(10_000 for _ in got) // unit
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 1000):
+        assert spark.conf.get(name) != before and 1 / 0
+    assert spark.conf.get(name) == before
+
+
 def test_prefix_counts_are_the_library_s(spark, tricky, nothing):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
