@@ -4,6 +4,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from scorebook.llm import queries, search, urls
@@ -71,6 +73,27 @@ def test_like_documents_become_neighbours():
     assert blocks(new) < 0.4 * blocks(doc)
 
 
+def test_a_shard_is_a_row_group_of_its_own(spark):
+    """A task's shards are neither written nor read together, and texts that come in small batches fill a shard."""
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' of the '), 8000) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    index = search.build_index(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    (file,) = index.inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    text = docs.selectExpr("sum(length(text))").first()[0]
+    assert meta.num_rows == meta.num_row_groups and text / search.SHARD_BYTES < meta.num_rows <= text / search.SHARD_BYTES * 1.3 + 1
+    assert sorted(i for r in index.select("docs").collect() for i in r.docs) == list(range(300))
+
+
+def test_shards_do_not_depend_on_batches():
+    """The same rows whether texts come at once or one by one."""
+    text = pa.array([f"a b{i % 7} c{i}" * (i % 5) or None for i in range(200)])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(200)), text], ["doc_id", "text"])
+    (a,), (b,) = (pa.Table.from_batches(search._index(iter(x))).to_pylist() for x in ([whole], [whole.slice(i, 1) for i in range(200)]))
+    assert a == b and len(a["docs"]) == 200 and len(a["starts"]) == len(a["terms"]) + 1
+
+
 def test_top_k_edge_cases(spark, tricky, nothing):
     index = search.build_index(tricky)
     rows = search.top_k(index, tricky.where("doc_id % 100 = 0 or doc_id in (2, 4, 5)")).collect()
