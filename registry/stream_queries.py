@@ -121,7 +121,7 @@ def i15(spark, sf):
     ends = feed.where("event_type IN ('purchase', 'signup') OR game_pk IS NULL")
     windows = state.event_windows(ends, "game_pk", "ts", F.col("event_id").cast("string"), DELAY)
     # An inner join lets no row without a key reach the watermark, so the ticks get one that no window has.
-    polls = feed.where("event_type NOT IN ('purchase', 'signup') OR game_pk IS NULL").withColumn("game_pk", F.coalesce("game_pk", F.lit(-1)))
-    state.append_to(state.in_windows(polls, windows, "game_pk", "ts", "3 days", DELAY), path)
+    polls = feed.where("event_type NOT IN ('purchase', 'signup') OR game_pk IS NULL").select(F.coalesce("game_pk", F.lit(-1)).alias("game_pk"), "event_id", "ts")
+    state.append_to(state.in_windows(polls, windows, "game_pk", "ts", "3 days", DELAY), path, state.JOINED)
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return spark.read.parquet(f"{path}/out").select("game_pk", "event_id", F.col("payload").cast("long").alias("window_event"), at("start_at").alias("window_start"), at("end_at").alias("window_end"))

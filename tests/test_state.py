@@ -167,3 +167,68 @@ def test_windows_out_of_order(spark):
     minute = lambda c: ((F.col(c) - F.lit(int(T0.timestamp() * 10**6))) / 60000000).cast("int").alias(c)
     got = rows(spark.read.parquet(f"{path}/out").select("key", minute("start_at"), minute("end_at"), "payload"))
     assert got == [(1, None, 10, "1"), (1, 10, 20, "2"), (1, 20, 30, "3"), (1, 30, 60, "4"), (1, 60, 200, "5"), (1, 200, 201, "6"), (2, None, 5, "9")]
+
+
+class Handle:
+    """The state of one bucket in memory; counts what would go to the store."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        return Variable(self, self.held.setdefault(name, {}))
+
+    getMapState = lambda self, name, key, value: self.getValueState(name, value)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Variable:
+    def __init__(self, handle, held):
+        self.handle, self.held = handle, held
+
+    def __getattr__(self, name):
+        self.handle.calls += 1
+        held = self.held
+        return {"exists": lambda: bool(held), "get": lambda: held.get(()), "update": lambda v: held.update({(): v}), "clear": held.clear, "containsKey": held.__contains__,
+                "getValue": held.get, "updateValue": held.__setitem__, "iterator": lambda: iter(list(held.items()))}[name]
+
+
+class Timers:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: watermark
+
+
+def test_windows_of_a_bucket_cost_calls_by_key_not_by_event():
+    """Batches of a bucket against a loop: events in any order, equal times, keys that come once or always; one timer."""
+    rng, handle, got, want, seen = random.Random(3), Handle(), [], [], {}
+    Event = state.Row("key", "at", "payload")
+    bucket = state._Windows("long")
+    bucket.init(handle)
+    waiting = {}
+    for batch, keys in enumerate([range(40), range(40), range(3), range(41, 43), range(40), []]):
+        events = [Event(k, (batch * 100 + rng.randrange(1, 180)) * 1000 + rng.randrange(3) * 500, rng.choice("abc")) for k in keys for _ in range(100)]
+        list(bucket.handleInputRows((5,), iter(events), Timers(0)))
+        for e in events:
+            waiting[e.key, e.at] = min(e.payload, waiting.get((e.key, e.at), "z"))
+        handle.calls, until = 0, batch * 100 + 100
+        assert handle.timers == {-(-min(at for _, at in waiting) // 1000)}
+        if min(handle.timers) <= until:
+            got += bucket.handleExpiredTimer((5,), Timers(until), Timers(min(handle.timers)))
+        due = sorted((k, at) for k, at in waiting if at <= until * 1000)
+        for k, at in due:
+            want.append((k, at, seen.get(k), waiting.pop((k, at)), state.EPOCH + timedelta(microseconds=at)))
+            seen[k] = at
+        assert handle.calls <= 3 * len({k for k, _ in due}) + 12 and (len(due) > 12 * len({k for k, _ in due}) or batch == 5)
+        assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert list(bucket.handleInputRows((None,), iter([Event(None, 1, "a")]), Timers(0))) == [] and handle.held["known"][()] == (42,)
